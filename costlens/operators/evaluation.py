@@ -76,4 +76,4 @@ def result_document(scored: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("tier", "precision", "recall", "f1", "support"))).alias("per_class"))
     matrix = confusion_matrix(scored).agg(
         F.sort_array(F.collect_list(F.struct("label", "predicted", "n"))).alias("confusion"))
-    return accuracy_gate(scored).join(F.broadcast(metrics)).join(F.broadcast(matrix))
+    return accuracy_gate(scored).withColumn("per_class", metrics.scalar()).withColumn("confusion", matrix.scalar())

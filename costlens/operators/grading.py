@@ -26,7 +26,7 @@ def graded(found: DataFrame, k: int = K.ROUTE_TOP_K, threshold: float = K.ROUTE_
         found.withColumn("_best", best_tier(F.coalesce("neighbours", F.array().cast(found.schema["neighbours"].dataType)), k))
         .withColumn("predicted", F.when(routed, F.col("_best.tier")).otherwise(F.lit(K.DEFAULT_TIER)))
         .withColumn("confidence", F.when(routed, F.round(clamped, 4)).otherwise(F.lit(K.NO_ROUTE_CONFIDENCE)))
-        .withColumn("score", F.round(score, 6))
+        .withColumn("score", score)
         .drop("_best")
     )
 

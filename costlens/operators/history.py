@@ -43,7 +43,7 @@ def page(
     """One page plus the total on each row; only ``number * size`` rows per task are kept."""
     start = (max(1, number) - 1) * size
     rows = projection(logs, ["id"]).orderBy(*order(sort_by, direction)).offset(start).limit(size)
-    return rows.join(F.broadcast(count(logs)))
+    return rows.withColumn("total", count(logs).scalar())
 
 
 def page_after(

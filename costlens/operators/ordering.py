@@ -45,12 +45,14 @@ def with_range(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RA
 def _before(totals: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
     """Exclusive running sums over range totals: at most MAX_RANGES rows per group."""
     window = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
     return totals.select(*by, "_range", *[
-        F.coalesce(F.sum(source).over(window), F.lit(0)).alias(target) for source, target in columns.items()])
+        F.coalesce(F.sum(source).over(window), F.lit(0)).alias(target) for source, target in columns.items()],
+        F.sum("n").over(whole).alias("rows"))
 
 
 def cumulative_savings(logs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``id, created_at, position, requests, cumulative_savings`` in time order."""
+    """``id, created_at, position, rows, cumulative_savings`` in time order."""
     rows = with_range(logs.select("created_at", "id", "savings_usd"), ["created_at", "id"], rows_per_range)
     totals = rows.groupBy("_range").agg(F.count("*").alias("n"), exact_sum(F.col("savings_usd")).alias("saved"))
     offsets = _before(totals, [], {"n": "rows_before", "saved": "saved_before"})
@@ -64,7 +66,7 @@ def cumulative_savings(logs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) ->
         .join(F.broadcast(offsets), "_range")
         .select(
             "id", "created_at",
-            (F.col("_n") + F.col("rows_before")).cast("long").alias("position"),
+            (F.col("_n") + F.col("rows_before")).cast("long").alias("position"), "rows",
             dollars((F.col("_saved") + F.col("saved_before").cast(RUNNING)).cast(RUNNING)).alias("cumulative_savings"),
         )
     )
@@ -72,10 +74,8 @@ def cumulative_savings(logs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) ->
 
 def downsample(series: DataFrame, points: int) -> DataFrame:
     """Evenly spaced points of a positioned series plus its last point."""
-    size = series.agg(F.max("position").alias("_size"))
-    step = F.greatest(F.lit(1), F.ceil(F.col("_size") / points))
-    kept = ((F.col("position") - 1) % step == 0) | (F.col("position") == F.col("_size"))
-    return series.join(F.broadcast(size)).where(kept).drop("_size")
+    step = F.greatest(F.lit(1), F.ceil(F.col("rows") / points))
+    return series.where(((F.col("position") - 1) % step == 0) | (F.col("position") == F.col("rows")))
 
 
 def exact_quantiles(
@@ -90,14 +90,12 @@ def exact_quantiles(
     ranged = with_range(counted, [by, value], rows_per_range)
     totals = ranged.groupBy(by, "_range").agg(F.sum("n").alias("n"))
     offsets = _before(totals, [by], {"n": "before"})
-    sizes = totals.groupBy(by).agg(F.sum("n").alias("rows"))
     inside = Window.partitionBy(by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranks = (
         ranged.withColumn("_upto", F.sum("n").over(inside))
         .join(offsets, [by, "_range"])
         .withColumn("_last", F.col("_upto") + F.col("before") - 1)
         .withColumn("_first", F.col("_last") - F.col("n") + 1)
-        .join(sizes, by)
     )
 
     def at(rank: Column) -> Column:

@@ -1,7 +1,7 @@
 """Report figures over the request log. Every aggregate combines on the map side and groups by
 a small dimension (tier, model, hour), so one hot value costs no more than the others."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from costlens import constants as K
 from costlens.functions import display, text
@@ -88,33 +88,42 @@ def served_models(logs: DataFrame, bucket: bool = True) -> DataFrame:
     return logs.where(~F.col("cache_hit")).groupBy(model.alias("model")).agg(F.count("*").alias("count"))
 
 
-def model_spine(logs: DataFrame) -> DataFrame:
-    """``position, model, count``: known models first, then unknown ones A to Z."""
+def _spine(counts: DataFrame) -> DataFrame:
+    """One row with ``line``: the models of the report in display order, each with its count."""
     joined = (
-        known_models(logs.sparkSession)
-        .join(served_models(logs), "model", "full_outer")
-        .select("model", F.coalesce("count", F.lit(0).cast("long")).alias("count"),
-                F.coalesce("place", F.lit(len(K.KNOWN_MODELS))).alias("place"))
+        known_models(counts.sparkSession)
+        .join(counts, "model", "full_outer")
+        .select(F.coalesce("place", F.lit(len(K.KNOWN_MODELS))).alias("place"), "model",
+                F.coalesce("count", F.lit(0).cast("long")).alias("count"))
     )
     # a row per model name
-    line = F.sort_array(F.collect_list(F.struct("place", "model", "count")))
-    return joined.agg(line.alias("line")).select(F.posexplode("line").alias("position", "row")).select(
-        F.col("position").cast("long").alias("position"), "row.model", "row.count")
+    return joined.agg(F.sort_array(F.collect_list(F.struct("place", "model", "count"))).alias("line"))
+
+
+def model_spine(logs: DataFrame) -> DataFrame:
+    """``position, model, count``: known models first, then unknown ones A to Z."""
+    return _spine(served_models(logs)).select(F.posexplode("line").alias("position", "m")).select(
+        F.col("position").cast("long").alias("position"), "m.model", "m.count")
+
+
+def distribution_of(counts: DataFrame) -> DataFrame:
+    """The spine with each model's share of all counted requests."""
+    total = F.aggregate("line", F.lit(0).cast("long"), lambda s, m: s + m["count"])
+    return _spine(counts).select(F.posexplode("line").alias("position", "m"), total.alias("_total")).select(
+        F.col("position").cast("long").alias("position"), "m.model", "m.count",
+        percent(F.col("m.count"), F.col("_total"), 1).alias("pct"))
 
 
 def model_distribution(logs: DataFrame) -> DataFrame:
-    spine = model_spine(logs)
-    total = spine.agg(F.sum("count").alias("_total"))
-    return spine.join(F.broadcast(total)).select(
-        "position", "model", "count", percent(F.col("count"), F.col("_total"), 1).alias("pct"))
+    return distribution_of(served_models(logs))
 
 
 def bar_scale(logs: DataFrame) -> DataFrame:
     """Bar length of each model against the longest bar."""
-    spine = model_spine(logs)
-    longest = spine.agg(F.greatest(F.lit(1), F.max("count")).alias("_longest"))
-    return spine.join(F.broadcast(longest)).select(
-        "position", "model", "count", F.round(F.col("count") / F.col("_longest") * 100, 4).alias("bar_pct"))
+    longest = F.greatest(F.lit(1), F.array_max(F.transform("line", lambda m: m["count"])))
+    return _spine(served_models(logs)).select(F.posexplode("line").alias("position", "m"), longest.alias("_longest")).select(
+        F.col("position").cast("long").alias("position"), "m.model", "m.count",
+        F.round(F.col("m.count") / F.col("_longest") * 100, 4).alias("bar_pct"))
 
 
 def model_universe(logs: DataFrame) -> DataFrame:
@@ -133,10 +142,11 @@ def cost_by_model(logs: DataFrame) -> DataFrame:
         .groupBy(text.model_bucket(F.col("model_used")).alias("model"))
         .agg(F.count("*").alias("requests"), exact_sum(F.col("theoretical_cost_usd")).alias("_cost"))
     )
-    total = per_model.agg(F.sum("requests").alias("_requests"))
-    return per_model.join(F.broadcast(total)).select(
+    # the window spans one row per model
+    total = F.sum("requests").over(Window.partitionBy())
+    return per_model.select(
         "model", "requests", dollars(F.col("_cost")).alias("theoretical_cost_usd"),
-        percent(F.col("requests"), F.col("_requests"), 1).alias("routing_pct"))
+        percent(F.col("requests"), total, 1).alias("routing_pct"))
 
 
 def rate_card_usage(logs: DataFrame) -> DataFrame:
@@ -188,13 +198,10 @@ def savings_today(logs: DataFrame, as_of: Column | None = None) -> DataFrame:
     hourly = in_range(logs, "today", as_of).groupBy(F.date_trunc("hour", "created_at").alias("_hour")).agg(
         F.count("*").alias("requests"), exact_sum(F.col("savings_usd")).alias("_saved"))
     # at most 24 rows are left
-    earlier = hourly.select(F.col("_hour").alias("_at"), F.col("_saved").alias("_part"))
-    return (
-        hourly.join(F.broadcast(earlier), F.col("_at") <= F.col("_hour"))
-        .groupBy("_hour", "requests", "_saved").agg(exact_sum(F.col("_part")).alias("_upto"))
-        .select(text.iso(F.col("_hour")).alias("hour"), "requests",
-                dollars(F.col("_saved")).alias("savings_usd"), dollars(F.col("_upto")).alias("running_savings_usd"))
-    )
+    upto = F.sum("_saved").over(Window.partitionBy(F.to_date("_hour")).orderBy("_hour"))
+    return hourly.select(
+        text.iso(F.col("_hour")).alias("hour"), "requests",
+        dollars(F.col("_saved")).alias("savings_usd"), dollars(upto).alias("running_savings_usd"))
 
 
 def savings_series(logs: DataFrame, points: int = K.MAX_SERIES_POINTS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
