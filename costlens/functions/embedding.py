@@ -1,4 +1,4 @@
-"""Text to unit vector with Spark ML: hashed words and character trigrams."""
+"""Text to unit vector with Spark ML: hashed words and word pairs."""
 
 from collections.abc import Callable, Iterator
 
@@ -9,19 +9,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 WORD_FEATURES = 128
-TRIGRAM_FEATURES = 128
+PAIR_FEATURES = 128
 
 
 def embed_text(df: DataFrame, column: str, output: str = "embedding") -> DataFrame:
-    """Add a unit vector of the whole text; a blank text gets the zero vector."""
+    """Add a unit vector of the whole text; a text without words gets the zero vector."""
     folded = df.withColumn("_text", F.lower(F.coalesce(column, F.lit(""))))
     stages = [
-        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+"),
-        RegexTokenizer(inputCol="_text", outputCol="_letters", pattern=r"[^\s]", gaps=False),
-        NGram(n=3, inputCol="_letters", outputCol="_trigrams"),
+        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"(?U)\W+"),
+        NGram(n=2, inputCol="_words", outputCol="_pairs"),
         HashingTF(numFeatures=WORD_FEATURES, inputCol="_words", outputCol="_word_counts"),
-        HashingTF(numFeatures=TRIGRAM_FEATURES, inputCol="_trigrams", outputCol="_trigram_counts"),
-        VectorAssembler(inputCols=["_word_counts", "_trigram_counts"], outputCol="_counts"),
+        HashingTF(numFeatures=PAIR_FEATURES, inputCol="_pairs", outputCol="_pair_counts"),
+        VectorAssembler(inputCols=["_word_counts", "_pair_counts"], outputCol="_counts"),
         Normalizer(p=2.0, inputCol="_counts", outputCol="_unit"),
     ]
     model = Pipeline(stages=stages).fit(folded)

@@ -1,12 +1,14 @@
 """The semantic cache: lookups, expiry, replay of a whole log, threshold sweep."""
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from costlens import constants as K
 from costlens.functions.money import percent
-from costlens.operators.similarity import BLOCK_ROWS, similar_alive, similar_entries
+from costlens.operators.similarity import BLOCK_ROWS, MAX_BROADCAST_ROWS, similar_alive, similar_entries
+from costlens.operators.skew import salted_join
 from costlens.session import materialise
 
 
@@ -17,12 +19,12 @@ def answerable(entries: DataFrame) -> DataFrame:
 
 def lookup(
     queries: DataFrame, entries: DataFrame, threshold: float = K.CACHE_THRESHOLD,
-    ttl_seconds: int | None = None, block_rows: int = BLOCK_ROWS,
+    ttl_seconds: int | None = None, block_rows: int = BLOCK_ROWS, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Every query with ``hit`` and, on a hit, ``cache_id, score, response`` of the best entry."""
     usable = answerable(entries)
-    found = similar_entries(queries, usable, threshold, ttl_seconds, block_rows)
-    served = found.join(usable.select("cache_id", "response"), "cache_id")
+    found = similar_entries(queries, usable, threshold, ttl_seconds, block_rows, max_broadcast_rows)
+    served = salted_join(found, usable.select("cache_id", "response"), ["cache_id"], "query_id")
     return queries.drop("embedding").join(served, "query_id", "left").withColumn("hit", F.col("cache_id").isNotNull())
 
 
@@ -33,7 +35,7 @@ def threshold_sweep(queries: DataFrame, entries: DataFrame, thresholds: list[flo
     """
     found = similar_entries(queries, answerable(entries), min(thresholds))
     best = queries.select("query_id", "label").join(
-        found.join(entries.select("cache_id", F.col("tier").alias("_tier")), "cache_id"), "query_id", "left")
+        salted_join(found, entries.select("cache_id", F.col("tier").alias("_tier")), ["cache_id"], "query_id"), "query_id", "left")
     parts = F.array(*[
         F.struct(F.lit(t).alias("threshold"),
                  F.count_if(F.col("score") >= t).alias("hits"),
@@ -52,7 +54,7 @@ _KEPT = ["request_id", "_t", "asked_at", "embedding", "answered"]
 
 def replay(
     requests: DataFrame, ttl_seconds: int = K.CACHE_TTL_SECONDS, stored: DataFrame | None = None,
-    slab_seconds: int = 86_400, block_rows: int = BLOCK_ROWS,
+    slab_seconds: int = 86_400, block_rows: int = BLOCK_ROWS, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Hit or miss of every request when each answered miss is stored for the ones after it.
 
@@ -65,6 +67,7 @@ def replay(
     end. Each round is written out, which keeps plans short and survives lost executors.
     """
     span = ttl_seconds * 1_000_000
+    search = partial(similar_alive, span=span, earlier_only=True, block_rows=block_rows, max_broadcast_rows=max_broadcast_rows)
     base = requests.withColumn("_t", F.unix_micros("asked_at")).select(*_KEPT)
     low, high = base.agg(F.min("_t"), F.max("_t")).first()
     carry = base.limit(0) if stored is None else stored.withColumn("answered", F.lit(True)).withColumn(
@@ -73,7 +76,7 @@ def replay(
     while low is not None and low <= high:
         end = low + slab_seconds * 1_000_000
         slab = base.where((F.col("_t") >= low) & (F.col("_t") < end))
-        parts, carry = _replay_slab(slab, carry.where(F.col("_t") >= low - span), span, block_rows)
+        parts, carry = _replay_slab(slab, carry.where(F.col("_t") >= low - span), span, search)
         decided.extend(parts)
         low = end
     return reduce(DataFrame.unionByName, decided, _verdict(base.limit(0), False, False))
@@ -83,15 +86,15 @@ def _verdict(rows: DataFrame, hit: bool, stored: bool) -> DataFrame:
     return rows.select("request_id", "asked_at", F.lit(hit).alias("hit"), F.lit(stored).alias("stored"))
 
 
-def _replay_slab(slab: DataFrame, carry: DataFrame, span: int, block_rows: int) -> tuple[list[DataFrame], DataFrame]:
+def _replay_slab(slab: DataFrame, carry: DataFrame, span: int, search: Callable) -> tuple[list[DataFrame], DataFrame]:
     decided: list[DataFrame] = []
     kept = news = carry
     waiting = materialise(slab)
     while True:
-        hits = materialise(_served(waiting, news, span, block_rows))
+        hits = materialise(_served(waiting, news, span, search))
         decided.append(_verdict(waiting.join(hits, "request_id", "left_semi"), True, False))
         waiting = materialise(waiting.join(hits, "request_id", "left_anti"))
-        news = materialise(_unblocked(waiting.where("answered"), span, block_rows))
+        news = materialise(_unblocked(waiting.where("answered"), span, search))
         if news.isEmpty():
             # only requests without an answer are left, and nothing stored serves them
             return [*decided, _verdict(waiting, False, False)], kept
@@ -100,17 +103,16 @@ def _replay_slab(slab: DataFrame, carry: DataFrame, span: int, block_rows: int)
         waiting = waiting.join(news.select("request_id"), "request_id", "left_anti")
 
 
-def _served(waiting: DataFrame, stored: DataFrame, span: int, block_rows: int) -> DataFrame:
+def _served(waiting: DataFrame, stored: DataFrame, span: int, search: Callable) -> DataFrame:
     """Ids of the requests that a stored one answers."""
-    return similar_alive(
+    return search(
         waiting.select(F.col("request_id").alias("query_id"), "embedding", F.col("_t").alias("at")),
         stored.select(F.col("request_id").alias("cache_id"), "embedding", F.col("_t").alias("start"),
                       (F.col("_t") + span).alias("until")),
-        span, earlier_only=True, block_rows=block_rows,
     ).select(F.col("query_id").alias("request_id"))
 
 
-def _unblocked(waiting: DataFrame, span: int, block_rows: int) -> DataFrame:
+def _unblocked(waiting: DataFrame, span: int, search: Callable) -> DataFrame:
     """Waiting requests that no earlier waiting request may answer.
 
     Copies of one vector inside one span are one group: only its first member can be free, and
@@ -124,11 +126,10 @@ def _unblocked(waiting: DataFrame, span: int, block_rows: int) -> DataFrame:
             F.floor(F.col("_t") / span).alias("_b"),
         ).agg(F.min_by(F.struct(*_KEPT), order).alias("first"), F.max("_t").alias("_last"))
         .select("first.*", "_last"))
-    blocked = similar_alive(
+    blocked = search(
         groups.select(F.col("request_id").alias("query_id"), "embedding", F.col("_t").alias("at")),
         groups.select(F.col("request_id").alias("cache_id"), "embedding", F.col("_t").alias("start"),
-                      (F.col("_last") + span).alias("until")),
-        span, earlier_only=True, block_rows=block_rows)
+                      (F.col("_last") + span).alias("until")))
     return groups.join(blocked.select(F.col("query_id").alias("request_id")), "request_id", "left_anti").select(*_KEPT)
 
 

@@ -7,7 +7,7 @@ of the query lies in cell i only if, for every pivot j, the query is at most r b
 halfway between pivots i and j. That test loses no pair. A cell with many rows is cut into blocks
 on both sides, each pair of blocks is one task's matrix product, and a block returns one row per
 query at most, so neither a hot cell nor a crowd of copies meets in one task or is spelled out pair
-by pair.
+by pair. Where all entries fit a small broadcast, which is checked, queries are not moved at all.
 
 ``nearest`` finds the k nearest labelled examples of each query. A small example table, which is
 the normal case, is broadcast after its size was checked; a large one is met block by block.
@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from costlens import constants as K
 from costlens.functions.vectors import as_doubles
+from costlens.operators.skew import salted_join
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
 MAX_BROADCAST_ROWS = 20_000
-_SALTS = 16
+MAX_BROADCAST_BYTES = 128 * 1024 * 1024
+_CHUNK = 512
 _SLACK = 1e-9
 SCORE_DIGITS = 12
 
@@ -60,6 +62,7 @@ def _pivots(entries: DataFrame, block_rows: int) -> np.ndarray:
 
 def _as_units(df: DataFrame) -> DataFrame:
     """Replace ``embedding`` by ``_unit``; vectors without a direction match nothing."""
+    df = df.withColumn("embedding", as_doubles(F.col("embedding")))
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     return (
         df.withColumn("_norm", length).where(F.col("_norm") > 0)
@@ -109,15 +112,13 @@ def _blocks(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, ri
         return df.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
 
     counts = sizes(left, "_lefts").join(sizes(right, "_rights"), keys)
-    spread = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
 
     def place(df: DataFrame, row_id: str, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
         return (
-            df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(_SALTS)).cast("int"))
-            .join(spread, [*keys, "_salt"])
+            salted_join(df, counts, keys, row_id)
             .withColumn(own_block, F.pmod(F.xxhash64(row_id, F.lit(1)), F.col(own)).cast("int"))
             .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .drop("_salt", "_lefts", "_rights")
+            .drop("_lefts", "_rights")
         )
 
     return (
@@ -132,6 +133,7 @@ def similar_entries(
     threshold: float = K.CACHE_THRESHOLD,
     ttl_seconds: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """``query_id, cache_id, score``: each query's best entry with score >= threshold.
 
@@ -144,25 +146,26 @@ def similar_entries(
         return similar_alive(
             queries.select("query_id", "embedding", F.unix_micros("asked_at").alias("at")),
             entries.select("cache_id", "embedding", start.alias("start"), (start + span).alias("until")),
-            span, threshold, block_rows=block_rows)
-    # without expiry, copies of an entry are one entry and copies of a question one question
-    e = _as_units(entries.select("cache_id", as_doubles(F.col("embedding")).alias("embedding")))
+            span, threshold, block_rows=block_rows, max_broadcast_rows=max_broadcast_rows)
+    e = _as_units(entries.select("cache_id", "embedding"))
+    q = _as_units(queries.select("query_id", "embedding"))
+    head = _small(e, max_broadcast_rows)
+    if head is not None:
+        return _best_broadcast(q, e, head, _matcher(threshold))
+    # copies of an entry are one entry and copies of a question one question
     e = e.groupBy("_unit", "_dim").agg(F.min("cache_id").alias("cache_id"))
-    q = _as_units(queries.select("query_id", as_doubles(F.col("embedding")).alias("embedding")))
     q = q.withColumn("_vector", _vector_key())
     asked = q.groupBy("_vector").agg(F.first("_unit").alias("_unit"), F.first("_dim").alias("_dim"))
-    found = _best(asked.withColumnRenamed("_vector", "query_id"), e, threshold, ["_dim", "_cell"], block_rows)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    return (
-        q.select("query_id", "_vector", F.pmod(F.xxhash64("query_id"), F.lit(_SALTS)).cast("int").alias("_salt"))
-        .join(found.withColumnRenamed("query_id", "_vector").withColumn("_salt", salts), ["_vector", "_salt"])
-        .select("query_id", "cache_id", "score")
-    )
+    found = _best_blocks(
+        asked.withColumnRenamed("_vector", "query_id"), e, threshold, _matcher(threshold), ["_dim", "_cell"], block_rows)
+    return salted_join(
+        q.select("query_id", "_vector"), found.withColumnRenamed("query_id", "_vector"), ["_vector"], "query_id",
+    ).select("query_id", "cache_id", "score")
 
 
 def similar_alive(
     queries: DataFrame, entries: DataFrame, span: int, threshold: float = K.CACHE_THRESHOLD,
-    earlier_only: bool = False, block_rows: int = BLOCK_ROWS,
+    earlier_only: bool = False, block_rows: int = BLOCK_ROWS, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """The best entry alive when the query is asked: ``start <= at < until``, in microseconds.
 
@@ -170,13 +173,22 @@ def similar_alive(
     span, so a query meets the entries of its own span and the one before. ``earlier_only``
     orders an entry and a query of the same moment by their integer ids.
     """
-    e = _as_units(entries.withColumn("embedding", as_doubles(F.col("embedding"))))
-    q = _as_units(queries.withColumn("embedding", as_doubles(F.col("embedding"))))
+    e, q = _as_units(entries), _as_units(queries)
+    matcher = _matcher(threshold, timed=True, earlier_only=earlier_only)
+    head = _small(e, max_broadcast_rows)
+    if head is not None:
+        return _best_broadcast(q, e, head, matcher)
     now = F.floor(F.col("at") / span)
-    return _best(
+    return _best_blocks(
         q.withColumn("_bucket", F.explode(F.array(now, now - 1))),
         e.withColumn("_bucket", F.floor(F.col("start") / span)),
-        threshold, ["_dim", "_cell", "_bucket"], block_rows, timed=True, earlier_only=earlier_only)
+        threshold, matcher, ["_dim", "_cell", "_bucket"], block_rows)
+
+
+def _small(df: DataFrame, max_rows: int) -> pa.Table | None:
+    """The whole frame if it is within the broadcast bounds."""
+    head = df.limit(max_rows + 1).toArrow()
+    return head if head.num_rows <= max_rows and head.nbytes <= MAX_BROADCAST_BYTES else None
 
 
 def _vector_key() -> Column:
@@ -184,27 +196,10 @@ def _vector_key() -> Column:
     return F.concat_ws(":", F.xxhash64("_unit").cast("string"), F.xxhash64(F.lit("v"), "_unit").cast("string"))
 
 
-def _best(
-    q: DataFrame, e: DataFrame, threshold: float, keys: list[str], block_rows: int,
-    timed: bool = False, earlier_only: bool = False,
-) -> DataFrame:
-    pivots = _pivots(e, block_rows)
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    homes = _with_cells(e, pivots, None)
-    visits = _with_cells(q, pivots, reach)
-    left, right = _blocks(visits, homes, keys, "query_id", "cache_id", block_rows)
-    on = [*keys, "_lb", "_rb"]
-    schema = T.StructType([
-        T.StructField("query_id", q.schema["query_id"].dataType),
-        T.StructField("cache_id", e.schema["cache_id"].dataType),
-        T.StructField("score", T.DoubleType()),
-    ])
+def _matcher(threshold: float, timed: bool = False, earlier_only: bool = False):
+    """A function of two Arrow tables: one row per query of the first with its best match."""
 
     def match(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        if asked.num_rows == 0 or stored.num_rows == 0:
-            return pa.table({"query_id": asked.column("query_id").slice(0, 0), "cache_id": stored.column("cache_id").slice(0, 0),
-                             "score": pa.array([], pa.float64())})
-        stored = stored.sort_by("cache_id")
         width = asked.column("_dim")[0].as_py()
         score = _matrix(asked.column("_unit"), width) @ _matrix(stored.column("_unit"), width).T
         allowed = score >= threshold
@@ -216,7 +211,7 @@ def _best(
                 later_id = np.asarray(stored.column("cache_id"))[None, :] >= np.asarray(asked.column("query_id"))[:, None]
                 begun &= ~((start == at) & later_id)
             allowed &= begun & (at < np.asarray(stored.column("until"))[None, :])
-        # the first of equal rounded scores is the smallest id
+        # entries come in id order, so the first of equal rounded scores has the smallest id
         ranked = np.where(allowed, np.round(score, SCORE_DIGITS), -2.0)
         best = ranked.argmax(axis=1)
         rows = np.flatnonzero(ranked[np.arange(len(best)), best] > -2.0)
@@ -226,7 +221,52 @@ def _best(
             "score": pa.array(score[rows, best[rows]]),
         })
 
-    per_block = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(match, schema)
+    return match
+
+
+def _match_type(q: DataFrame, e: DataFrame) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", q.schema["query_id"].dataType),
+        T.StructField("cache_id", e.schema["cache_id"].dataType),
+        T.StructField("score", T.DoubleType()),
+    ])
+
+
+def _best_broadcast(q: DataFrame, e: DataFrame, head: pa.Table, match) -> DataFrame:
+    """Every query meets all entries where it is; nothing is shuffled."""
+    head = head.sort_by("cache_id")
+    dims = np.asarray(head.column("_dim"))
+    by_width = {int(d): head.filter(pa.array(dims == d)).combine_chunks() for d in np.unique(dims)}
+    shared = q.sparkSession.sparkContext.broadcast(by_width)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            widths = np.asarray(table.column("_dim"))
+            for width in np.intersect1d(np.unique(widths), list(shared.value)):
+                rows = table.filter(pa.array(widths == width))
+                for start in range(0, rows.num_rows, _CHUNK):
+                    yield from match(rows.slice(start, _CHUNK), shared.value[int(width)]).to_batches()
+
+    return q.mapInArrow(search, _match_type(q, e))
+
+
+def _best_blocks(q: DataFrame, e: DataFrame, threshold: float, match, keys: list[str], block_rows: int) -> DataFrame:
+    pivots = _pivots(e, block_rows)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    homes = _with_cells(e, pivots, None)
+    visits = _with_cells(q, pivots, reach)
+    left, right = _blocks(visits, homes, keys, "query_id", "cache_id", block_rows)
+    on = [*keys, "_lb", "_rb"]
+
+    def meet(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        if asked.num_rows == 0 or stored.num_rows == 0:
+            return pa.table({
+                "query_id": asked.column("query_id").slice(0, 0), "cache_id": stored.column("cache_id").slice(0, 0),
+                "score": pa.array([], pa.float64())})
+        return match(asked, stored.sort_by("cache_id"))
+
+    per_block = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(meet, _match_type(q, e))
     rank = F.struct((-F.round("score", SCORE_DIGITS)).alias("s"), F.col("cache_id").alias("c"), F.col("score").alias("x"))
     return per_block.groupBy("query_id").agg(F.min(rank).alias("m")).select(
         "query_id", F.col("m.c").alias("cache_id"), F.col("m.x").alias("score"))
@@ -273,8 +313,8 @@ def nearest(
     """
     examples = exemplars.select("exemplar_id", "tier", as_doubles(F.col("embedding")).alias("embedding"))
     queries = queries.withColumn("embedding", as_doubles(F.col("embedding")))
-    head = examples.limit(max_broadcast_rows + 1).toArrow()
-    if head.num_rows <= max_broadcast_rows:
+    head = _small(examples, max_broadcast_rows)
+    if head is not None:
         return _nearest_broadcast(queries, examples, head.sort_by("exemplar_id"), k)
     return _nearest_blocks(queries, examples, k, block_rows)
 
@@ -290,7 +330,9 @@ def _nearest_broadcast(queries: DataFrame, examples: DataFrame, head: pa.Table,
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, ids, tiers = shared.value
         for batch in batches:
-            found = _top(batch.column("embedding"), matrix, ids, tiers, k)
+            asked = batch.column("embedding")
+            found = pa.concat_arrays([
+                _top(asked.slice(start, _CHUNK), matrix, ids, tiers, k) for start in range(0, len(asked), _CHUNK)])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(f.name) for f in kept], found], names=[*[f.name for f in kept], "neighbours"])
 

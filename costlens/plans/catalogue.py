@@ -615,7 +615,7 @@ def stream_cache_ttl(spark, folder):
     requests = _cache_traffic(spark, folder)
     requests.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(requests.schema).parquet(f"{base}/in")
-    writers.cached_decisions(stream, f"{base}/out", f"{base}/checkpoint")
+    writers.cached_decisions(stream, f"{base}/out", f"{base}/alive", f"{base}/checkpoint")
     return writers.read_batches(spark, f"{base}/out").select("request_id", "hit", "stored")
 
 

@@ -295,6 +295,25 @@ SELECT place::BIGINT AS place, node, CASE node WHEN 'request' THEN TRUE WHEN 'ca
 _put("eval_leak_check", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND conv_id % 8 = 0")
 _put("event_unseen", _log("SELECT id, request_id FROM logs WHERE created_at >= TIMESTAMP '2024-01-15'"))
 
+# one recursion step per request, in time order: the state is the list of stored requests
+_REPLAY = f"""WITH RECURSIVE {_VECTORS},
+traffic AS (
+  SELECT cache_id * 2 AS request_id, stored_s AS t, v, response <> '' AS answered FROM ent
+  UNION ALL SELECT query_id * 2 + 1, asked_s, v, TRUE FROM probe),
+lined AS (SELECT *, row_number() OVER (ORDER BY t, request_id) AS pos FROM traffic),
+edges AS MATERIALIZED (
+  SELECT b.pos, list(a.request_id) AS earlier FROM lined a JOIN lined b
+    ON a.pos < b.pos AND b.t < a.t + 3600 AND list_cosine_similarity(a.v, b.v) >= 0.92 GROUP BY b.pos),
+steps AS MATERIALIZED (SELECT pos, request_id, answered, coalesce(earlier, []::BIGINT[]) AS earlier FROM lined LEFT JOIN edges USING (pos)),
+walk(pos, request_id, hit, stored, kept) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::BOOLEAN, NULL::BOOLEAN, []::BIGINT[]
+  UNION ALL
+  SELECT s.pos, s.request_id, list_has_any(kept, earlier), answered AND NOT list_has_any(kept, earlier),
+         CASE WHEN answered AND NOT list_has_any(kept, earlier) THEN list_append(kept, s.request_id) ELSE kept END
+  FROM walk w JOIN steps s ON s.pos = w.pos + 1)
+SELECT request_id, hit, stored FROM walk WHERE pos > 0"""
+_put("semantic_cache_replay", _REPLAY)
+
 # ---- aggregations ------------------------------------------------------------------------
 
 _put("kpi_totals", _log(f"SELECT {_KPI} FROM logs"))
@@ -435,5 +454,6 @@ _put("stream_windows_session", _log(f"""
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS g FROM gaps)
 SELECT strftime(min(created_at), '%Y-%m-%d %H:%M:%S.%f') AS window_start, query_id, count(*) AS requests, {_sum('savings_usd')} AS savings_usd
 FROM numbered GROUP BY query_id, g HAVING max(created_at) + INTERVAL 10 MINUTES <= {_WATERMARK}"""))
+_put("stream_cache_ttl", _REPLAY)
 _put("stream_log_append", _log("""SELECT id, CASE WHEN id % 7 = 0 THEN 'nonexistent' ELSE tier END AS tier, cache_hit OR id % 7 <> 0 AS priced, baseline_cost_usd FROM logs"""))
-_put("embed_text", """SELECT doc_id, 256::BIGINT AS width, CASE WHEN regexp_matches(text, '\\S') THEN 1::DOUBLE ELSE 0::DOUBLE END AS length FROM documents""")
+_put("embed_text", """SELECT doc_id, 256::BIGINT AS width, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 1::DOUBLE ELSE 0::DOUBLE END AS length FROM documents""")

@@ -7,6 +7,7 @@ from costlens.functions import text
 from costlens.functions.embedding import embed_text
 from costlens.functions.pricing import rate_card, with_costs
 from costlens.operators import attempts as A, cache, conversations, evaluation, grading
+from costlens.operators.skew import salted_join
 from costlens.session import materialise
 from costlens.sources.tables import example_questions
 
@@ -35,10 +36,12 @@ def route_batch(requests: DataFrame, attempts: DataFrame, exemplars: DataFrame)
     decisions = materialise(cache.replay(asked.select(
         F.col("id").alias("request_id"), F.col("created_at").alias("asked_at"), "embedding",
         ((F.length("answer") > 0) & (F.length("question") > 0)).alias("answered"))))
-    served_answers = cache.replay_answers(
-        asked.select(F.col("id").alias("request_id"), F.col("created_at").alias("asked_at"), "embedding"), decisions,
-    ).select(F.col("query_id").alias("id"), "cache_id").join(
-        asked.select(F.col("id").alias("cache_id"), F.col("answer").alias("served_answer")), "cache_id").drop("cache_id")
+    served = cache.replay_answers(
+        asked.select(F.col("id").alias("request_id"), F.col("created_at").alias("asked_at"), "embedding"), decisions)
+    # one stored answer may serve most hits
+    served_answers = salted_join(
+        served.select(F.col("query_id").alias("id"), "cache_id"),
+        asked.select(F.col("id").alias("cache_id"), F.col("answer").alias("served_answer")), ["cache_id"], "id").drop("cache_id")
     graded = grading.grade(
         asked.select(F.col("id").alias("query_id"), "embedding"), exemplars
     ).select(F.col("query_id").alias("id"), F.col("predicted").alias("graded"), F.col("confidence").alias("graded_confidence"))

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from costlens import constants as K
 from costlens.functions.pricing import with_costs
 from costlens.operators.cache import replay
+from costlens.session import materialise
 from costlens.streaming.feed import _batch_path, run_batches
 
 
@@ -27,27 +28,25 @@ def read_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cached_decisions(
-    requests: DataFrame, output: str, checkpoint: str, ttl_seconds: int = K.CACHE_TTL_SECONDS,
+    requests: DataFrame, output: str, alive: str, checkpoint: str, ttl_seconds: int = K.CACHE_TTL_SECONDS,
 ) -> None:
     """Decide hit or miss of streamed requests against what earlier batches stored.
 
-    Exact while batches arrive in time order. Each batch rewrites only its own folder and reads
-    only earlier ones, of which expired entries are skipped by their time.
+    ``alive`` carries the unexpired stored requests from one batch to the next, so a batch reads
+    no more than that. Exact while batches arrive in time order. A batch that is run again
+    rewrites its own folders from the same input.
     """
     spark = requests.sparkSession
+    kept = ["request_id", "asked_at", "embedding"]
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        stored = None
-        if batch_id > 0:
-            earliest = batch.agg(F.min("asked_at")).scalar()
-            oldest = F.timestamp_micros(F.unix_micros(earliest) - ttl_seconds * 1_000_000)
-            stored = (
-                spark.read.option("basePath", output).parquet(f"{output}/batch=*")
-                .where((F.col("batch") < batch_id) & F.col("stored") & (F.col("asked_at") >= oldest))
-                .select("request_id", "asked_at", "embedding")
-            )
-        decisions = replay(batch, ttl_seconds, stored)
-        batch.join(decisions.select("request_id", "hit", "stored"), "request_id").write.mode("overwrite").parquet(
-            _batch_path(output, batch_id))
+        stored = spark.read.parquet(_batch_path(alive, batch_id - 1)) if batch_id > 0 else None
+        decisions = materialise(replay(batch, ttl_seconds, stored))
+        decisions.write.mode("overwrite").parquet(_batch_path(output, batch_id))
+        news = batch.join(decisions.where("stored").select("request_id"), "request_id", "left_semi").select(*kept)
+        pool = news if stored is None else news.unionByName(stored)
+        latest = batch.agg(F.max(F.unix_micros("asked_at"))).scalar()
+        pool.where(F.unix_micros("asked_at") > latest - ttl_seconds * 1_000_000).write.mode("overwrite").parquet(
+            _batch_path(alive, batch_id))
 
     run_batches(requests, decide, checkpoint)
