@@ -66,7 +66,7 @@ def _as_units(df: DataFrame) -> DataFrame:
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     return (
         df.withColumn("_norm", length).where(F.col("_norm") > 0)
-        .withColumn("_unit", F.transform("embedding", lambda x: x / F.col("_norm")))
+        .withColumn("_unit", F.transform("embedding", lambda x: F.try_divide(x, F.col("_norm"))))
         .withColumn("_dim", F.size("embedding")).drop("embedding", "_norm")
     )
 
