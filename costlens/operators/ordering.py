@@ -8,7 +8,7 @@ are accumulated, and the window runs inside a range on top of what came before i
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from costlens.functions.money import MONEY, RUNNING, dollars, exact_sum
+from costlens.functions.money import dollars, from_units, units
 from costlens.session import materialise
 
 ROWS_PER_RANGE = 500_000
@@ -54,11 +54,11 @@ def _before(totals: DataFrame, by: list[str], columns: dict[str, str]) -> DataFr
 def cumulative_savings(logs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``id, created_at, position, rows, cumulative_savings`` in time order."""
     rows = with_range(logs.select("created_at", "id", "savings_usd"), ["created_at", "id"], rows_per_range)
-    totals = rows.groupBy("_range").agg(F.count("*").alias("n"), exact_sum(F.col("savings_usd")).alias("saved"))
+    totals = rows.groupBy("_range").agg(F.count("*").alias("n"), F.sum(units(F.col("savings_usd"))).alias("saved"))
     offsets = _before(totals, [], {"n": "rows_before", "saved": "saved_before"})
     inside = Window.partitionBy("_range").orderBy("created_at", "id")
     upto_row = inside.rowsBetween(Window.unboundedPreceding, 0)
-    running = F.coalesce(F.sum(F.col("savings_usd").cast(MONEY)).over(upto_row).cast(RUNNING), F.lit(0).cast(RUNNING))
+    running = F.sum(units(F.col("savings_usd"))).over(upto_row)
     # one row per range, at most MAX_RANGES of them
     return (
         rows.select("created_at", "id", "_range",
@@ -67,7 +67,7 @@ def cumulative_savings(logs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) ->
         .select(
             "id", "created_at",
             (F.col("_n") + F.col("rows_before")).cast("long").alias("position"), "rows",
-            dollars((F.col("_saved") + F.col("saved_before").cast(RUNNING)).cast(RUNNING)).alias("cumulative_savings"),
+            dollars(from_units(F.coalesce("_saved", F.lit(0)) + F.col("saved_before"))).alias("cumulative_savings"),
         )
     )
 

@@ -59,12 +59,14 @@ def kpi_totals(logs: DataFrame) -> DataFrame:
 
 
 def kpi_cube(logs: DataFrame) -> DataFrame:
-    """The same figures for every combination of tier and model bucket; null means all."""
-    return (
-        logs.withColumn("model", text.model_bucket(F.col("model_used")))
-        .cube("tier", "model").agg(*_totals())
-        .select("tier", "model", *_kpi_columns())
-    )
+    """The same figures for every combination of tier and model bucket; null means all.
+
+    The log is added up once per combination; the cube is taken over those few rows.
+    """
+    cells = logs.groupBy("tier", text.model_bucket(F.col("model_used")).alias("model")).agg(*_totals())
+    added = ["requests", "_savings", "_baseline", "_hits", "_fallbacks"]
+    sums = cells.cube("tier", "model").agg(*[F.sum(c).alias(c) for c in added])
+    return sums.select("tier", "model", *_kpi_columns())
 
 
 def cache_hit_miss(logs: DataFrame) -> DataFrame:

@@ -53,21 +53,18 @@ def _pivots(entries: DataFrame, block_rows: int) -> np.ndarray:
     wanted = min(MAX_PIVOTS, entries.count() // block_rows)
     if wanted < 2:
         return np.empty((0, 0))
-    rows = entries.select("_unit", F.xxhash64("_unit").alias("h")).distinct().orderBy("h").limit(wanted).toArrow()
-    vectors = [np.asarray(v, dtype=np.float64) for v in rows.column("_unit").to_pylist()]
+    rows = entries.select("embedding", F.xxhash64("embedding").alias("h")).distinct().orderBy("h").limit(wanted).toArrow()
+    vectors = rows.column("embedding").to_pylist()
     widths = [len(v) for v in vectors]
     width = max(set(widths), key=widths.count)
-    return np.array([v for v in vectors if len(v) == width])
+    return _unit(np.array([v for v in vectors if len(v) == width], dtype=np.float64))
 
 
-def _as_units(df: DataFrame) -> DataFrame:
-    """Replace ``embedding`` by ``_unit``; vectors without a direction match nothing."""
-    df = df.withColumn("embedding", as_doubles(F.col("embedding")))
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+def _vectors(df: DataFrame) -> DataFrame:
+    """Rows that have a vector, with its width; vectors of unlike widths never meet."""
     return (
-        df.withColumn("_norm", length).where(F.col("_norm") > 0)
-        .withColumn("_unit", F.transform("embedding", lambda x: F.try_divide(x, F.col("_norm"))))
-        .withColumn("_dim", F.size("embedding")).drop("embedding", "_norm")
+        df.withColumn("embedding", as_doubles(F.col("embedding")))
+        .withColumn("_dim", F.size("embedding")).where(F.col("_dim") > 0)
     )
 
 
@@ -86,7 +83,7 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, reach: float | None) -> DataF
             cells: list[list[int]] = [[0]] * len(dims)
             fits = np.flatnonzero(dims == corners.shape[1])
             if len(fits):
-                near = _matrix(batch.column("_unit").take(pa.array(fits)), corners.shape[1]) @ corners.T
+                near = _unit(_matrix(batch.column("embedding").take(pa.array(fits)), corners.shape[1])) @ corners.T
                 if reach is None:
                     for row, cell in zip(fits, near.argmax(axis=1)):
                         cells[row] = [int(cell)]
@@ -147,15 +144,15 @@ def similar_entries(
             queries.select("query_id", "embedding", F.unix_micros("asked_at").alias("at")),
             entries.select("cache_id", "embedding", start.alias("start"), (start + span).alias("until")),
             span, threshold, block_rows=block_rows, max_broadcast_rows=max_broadcast_rows)
-    e = _as_units(entries.select("cache_id", "embedding"))
-    q = _as_units(queries.select("query_id", "embedding"))
+    e = _vectors(entries.select("cache_id", "embedding"))
+    q = _vectors(queries.select("query_id", "embedding"))
     head = _small(e, max_broadcast_rows)
     if head is not None:
         return _best_broadcast(q, e, head, _matcher(threshold))
     # copies of an entry are one entry and copies of a question one question
-    e = e.groupBy("_unit", "_dim").agg(F.min("cache_id").alias("cache_id"))
+    e = e.groupBy("embedding", "_dim").agg(F.min("cache_id").alias("cache_id"))
     q = q.withColumn("_vector", _vector_key())
-    asked = q.groupBy("_vector").agg(F.first("_unit").alias("_unit"), F.first("_dim").alias("_dim"))
+    asked = q.groupBy("_vector").agg(F.first("embedding").alias("embedding"), F.first("_dim").alias("_dim"))
     found = _best_blocks(
         asked.withColumnRenamed("_vector", "query_id"), e, threshold, _matcher(threshold), ["_dim", "_cell"], block_rows)
     return salted_join(
@@ -173,7 +170,7 @@ def similar_alive(
     span, so a query meets the entries of its own span and the one before. ``earlier_only``
     orders an entry and a query of the same moment by their integer ids.
     """
-    e, q = _as_units(entries), _as_units(queries)
+    e, q = _vectors(entries), _vectors(queries)
     matcher = _matcher(threshold, timed=True, earlier_only=earlier_only)
     head = _small(e, max_broadcast_rows)
     if head is not None:
@@ -193,15 +190,17 @@ def _small(df: DataFrame, max_rows: int) -> pa.Table | None:
 
 def _vector_key() -> Column:
     """128 bits naming a vector."""
-    return F.concat_ws(":", F.xxhash64("_unit").cast("string"), F.xxhash64(F.lit("v"), "_unit").cast("string"))
+    return F.concat_ws(":", F.xxhash64("embedding").cast("string"), F.xxhash64(F.lit("v"), "embedding").cast("string"))
 
 
 def _matcher(threshold: float, timed: bool = False, earlier_only: bool = False):
     """A function of two Arrow tables: one row per query of the first with its best match."""
+    if threshold <= 0:
+        raise ValueError("the threshold must be positive: unrelated vectors score zero")
 
     def match(asked: pa.Table, stored: pa.Table) -> pa.Table:
         width = asked.column("_dim")[0].as_py()
-        score = _matrix(asked.column("_unit"), width) @ _matrix(stored.column("_unit"), width).T
+        score = _unit(_matrix(asked.column("embedding"), width)) @ _unit(_matrix(stored.column("embedding"), width)).T
         allowed = score >= threshold
         if timed:
             at = np.asarray(asked.column("at"))[:, None]

@@ -8,8 +8,18 @@ from costlens.functions.vectors import as_doubles
 from costlens.session import fixed_table, prepare
 
 
+# Columns of the supplied tables; a known schema spares a job that reads file footers.
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
+    return prepare(spark).read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:

@@ -72,9 +72,9 @@ def test_best_living_entry(spark, limit, block):
 def test_cells_prune_but_lose_nothing(spark):
     queries, entries = vectors(3, 100, copies=False), vectors(3, 400, copies=False)
     q, e = frames(spark, queries, entries)
-    units = similarity._as_units(e)
+    units = similarity._vectors(e)
     pivots = similarity._pivots(units, 20)
-    visits = similarity._with_cells(similarity._as_units(q), pivots, float(np.sqrt(2 - 2 * 0.97))).count()
+    visits = similarity._with_cells(similarity._vectors(q), pivots, float(np.sqrt(2 - 2 * 0.97))).count()
     assert len(pivots) > 10
     assert visits < 0.7 * 100 * len(pivots)
     found = similarity.similar_entries(q, e, 0.97, block_rows=20, max_broadcast_rows=0)
