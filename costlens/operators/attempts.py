@@ -25,27 +25,33 @@ def backoff_schedule(attempts: DataFrame, tries: int = K.MAX_TRIES_PER_TIER) ->
                F.pow(F.lit(2.0), F.col("tier_try") - 1)).otherwise(0.0))
 
 
-def rollup(attempts: DataFrame) -> DataFrame:
-    """One row per request: where it started and ended, what it took to get there."""
-    timed = backoff_schedule(attempts)
-    no = F.col("attempt_no")
+def rollup(attempts: DataFrame, tries: int = K.MAX_TRIES_PER_TIER) -> DataFrame:
+    """One row per request: where it started and ended, what it took to get there.
+
+    Calls are added up per tier, then per request; nothing is ordered or gathered. Rate-limited
+    calls open a tier's run, so their number gives the waits: 1 + 2 + ... up to the last try.
+    """
     failed = F.col("error_text").isNotNull()
-    return timed.groupBy("request_id").agg(
-        F.min_by("tier", no).alias("first_tier"),
-        F.max_by("tier", no).alias("last_tier"),
-        F.max_by("provider", no).alias("last_provider"),
-        F.max_by(~failed, no).alias("answered"),
-        F.count_if(F.coalesce(text.error_category(F.col("error_text")) == "rate_limit", F.lit(False))).alias("retries"),
-        F.sum("wait_seconds").alias("wait_seconds"),
-        F.min_by("error_text", F.when(failed, no)).alias("first_error"),
-        F.count("*").alias("calls"),
+    limited = F.coalesce(text.error_category(F.col("error_text")) == "rate_limit", F.lit(False))
+    no = F.col("attempt_no")
+    runs = attempts.groupBy("request_id", "provider", "tier").agg(
+        F.min(no).alias("first_no"), F.max(no).alias("last_no"), F.max_by(~failed, no).alias("ok"),
+        F.min(F.when(failed, F.struct(no.alias("no"), F.col("error_text")))).alias("error"),
+        F.count_if(limited).alias("limited"), F.count("*").alias("calls"))
+    waited = F.pow(F.lit(2.0), F.least(F.col("limited"), F.lit(tries - 1))) - 1
+    return runs.groupBy("request_id").agg(
+        F.min_by("tier", "first_no").alias("first_tier"),
+        F.max_by(F.struct("tier", "provider", "ok"), "last_no").alias("last"),
+        F.sum("limited").alias("retries"),
+        F.sum(F.when(F.col("provider") == "primary", waited).otherwise(0.0)).alias("wait_seconds"),
+        F.min("error").alias("error"), F.sum("calls").alias("calls"),
     ).select(
         "request_id", "first_tier",
         # the local provider answers under the tier the request started with
-        F.when(F.col("last_provider") == "local", F.col("first_tier")).otherwise(F.col("last_tier")).alias("tier_used"),
-        ((F.col("last_provider") != "local") & (F.col("first_tier") != F.col("last_tier"))).alias("escalated"),
-        ((F.col("last_provider") == "local") & F.col("answered")).alias("fallback_used"),
-        "answered", "calls", "retries", "wait_seconds", "first_error",
+        F.when(F.col("last.provider") == "local", F.col("first_tier")).otherwise(F.col("last.tier")).alias("tier_used"),
+        ((F.col("last.provider") != "local") & (F.col("first_tier") != F.col("last.tier"))).alias("escalated"),
+        ((F.col("last.provider") == "local") & F.col("last.ok")).alias("fallback_used"),
+        F.col("last.ok").alias("answered"), "calls", "retries", "wait_seconds", F.col("error.error_text").alias("first_error"),
     )
 
 

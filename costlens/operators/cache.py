@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from costlens import constants as K
 from costlens.functions.money import percent
-from costlens.operators.similarity import BLOCK_ROWS, MAX_BROADCAST_ROWS, similar_alive, similar_entries
-from costlens.operators.skew import salted_join
+from costlens.operators.similarity import BLOCK_ROWS, MAX_BROADCAST_ROWS, attach_best, similar_alive
 from costlens.session import materialise
 
 
@@ -22,10 +21,8 @@ def lookup(
     ttl_seconds: int | None = None, block_rows: int = BLOCK_ROWS, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Every query with ``hit`` and, on a hit, ``cache_id, score, response`` of the best entry."""
-    usable = answerable(entries)
-    found = similar_entries(queries, usable, threshold, ttl_seconds, block_rows, max_broadcast_rows)
-    served = salted_join(found, usable.select("cache_id", "response"), ["cache_id"], "query_id")
-    return queries.drop("embedding").join(served, "query_id", "left").withColumn("hit", F.col("cache_id").isNotNull())
+    found = attach_best(queries, answerable(entries), ["response"], threshold, ttl_seconds, block_rows, max_broadcast_rows)
+    return found.withColumn("hit", F.col("cache_id").isNotNull())
 
 
 def threshold_sweep(queries: DataFrame, entries: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -33,13 +30,11 @@ def threshold_sweep(queries: DataFrame, entries: DataFrame, thresholds: list[flo
 
     The best entry at the lowest threshold is also the best at every higher one it reaches.
     """
-    found = similar_entries(queries, answerable(entries), min(thresholds))
-    best = queries.select("query_id", "label").join(
-        salted_join(found, entries.select("cache_id", F.col("tier").alias("_tier")), ["cache_id"], "query_id"), "query_id", "left")
+    best = attach_best(queries, answerable(entries), ["tier"], min(thresholds))
     parts = F.array(*[
         F.struct(F.lit(t).alias("threshold"),
                  F.count_if(F.col("score") >= t).alias("hits"),
-                 F.count_if((F.col("score") >= t) & (F.col("_tier") != F.col("label"))).alias("wrong"))
+                 F.count_if((F.col("score") >= t) & (F.col("tier") != F.col("label"))).alias("wrong"))
         for t in thresholds])
     return best.agg(F.count("*").alias("queries"), parts.alias("p")).select("queries", F.explode("p").alias("p")).select(
         "p.threshold", "queries", "p.hits", "p.wrong",

@@ -7,16 +7,30 @@ from costlens import constants as K
 from costlens.functions import pricing, text
 
 
+def _newest(role: str) -> Column:
+    """The newest text of a role, from the columns ``_spoken`` adds."""
+    return F.coalesce(F.max_by(f"_{role}_text", f"_{role}_turn"), F.lit(""))
+
+
+def _spoken(messages: DataFrame, *roles: str) -> DataFrame:
+    """Turn and text only where the role matters, so that sorting by conversation carries no other text."""
+    columns = [
+        F.when(F.col("role") == role, F.col(name)).alias(f"_{role}_{name}") for role in roles for name in ("turn", "text")]
+    return messages.select("conv_id", F.length("text").alias("_chars"), *columns)
+
+
 def last_user_message(messages: DataFrame) -> DataFrame:
     """The newest user text per conversation, empty if there is none."""
-    asked = F.when(F.col("role") == "user", F.col("turn"))
-    newest = F.max_by("text", asked)
-    return messages.groupBy("conv_id").agg(F.coalesce(newest, F.lit("")).alias("question"))
+    return _spoken(messages, "user").groupBy("conv_id").agg(_newest("user").alias("question"))
 
 
-def last_answer(messages: DataFrame) -> DataFrame:
-    answered = F.when(F.col("role") == "assistant", F.col("turn"))
-    return messages.groupBy("conv_id").agg(F.coalesce(F.max_by("text", answered), F.lit("")).alias("answer"))
+def exchanges(messages: DataFrame) -> DataFrame:
+    """Last question, last answer and both token estimates per conversation, in one pass."""
+    per_message = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_chars") / 4))
+    joined = F.sum("_chars") + F.count("_chars") - 1
+    return _spoken(messages, "user", "assistant").groupBy("conv_id").agg(
+        _newest("user").alias("question"), _newest("assistant").alias("answer"),
+        F.sum(per_message).alias("estimated_tokens"), F.floor(joined / 4).alias("joined_tokens"))
 
 
 def token_estimate(messages: DataFrame) -> DataFrame:

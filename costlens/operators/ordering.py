@@ -16,20 +16,20 @@ MAX_RANGES = 4096
 _SAMPLES_PER_RANGE = 50
 
 
-def with_range(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Add ``_range``: 0, 1, ... in key order, a pure function of the keys.
+def with_range(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, bool]:
+    """Add ``_range``: 0, 1, ... in key order, a pure function of the keys; and whether there is but one.
 
     The cut points come from a small sample; they decide only how even the ranges are.
     """
     total = df.count()
     ranges = min(MAX_RANGES, -(-total // rows_per_range))
     if ranges <= 1:
-        return df.withColumn("_range", F.lit(0))
+        return df.withColumn("_range", F.lit(0)), True
     fraction = min(1.0, _SAMPLES_PER_RANGE * ranges / total)
     sample = sorted(tuple(row) for row in df.select(*keys).sample(fraction, seed=7).collect())
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
     if not cuts:
-        return df.withColumn("_range", F.lit(0))
+        return df.withColumn("_range", F.lit(0)), True
     bounds = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, cut)]) for cut in cuts])
     steps = [1 << bit for bit in reversed(range(len(cuts).bit_length()))]
     key = F.struct(*[F.col(k) for k in keys])
@@ -39,7 +39,7 @@ def with_range(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RA
         ahead = found + step
         return F.when((ahead <= len(cuts)) & (F.get(bounds, ahead - 1) <= key), ahead).otherwise(found)
 
-    return df.withColumn("_range", F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance))
+    return df.withColumn("_range", F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)), False
 
 
 def _before(totals: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
@@ -53,23 +53,23 @@ def _before(totals: DataFrame, by: list[str], columns: dict[str, str]) -> DataFr
 
 def cumulative_savings(logs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``id, created_at, position, rows, cumulative_savings`` in time order."""
-    rows = with_range(logs.select("created_at", "id", "savings_usd"), ["created_at", "id"], rows_per_range)
-    totals = rows.groupBy("_range").agg(F.count("*").alias("n"), F.sum(units(F.col("savings_usd"))).alias("saved"))
-    offsets = _before(totals, [], {"n": "rows_before", "saved": "saved_before"})
+    rows, single = with_range(logs.select("created_at", "id", "savings_usd"), ["created_at", "id"], rows_per_range)
     inside = Window.partitionBy("_range").orderBy("created_at", "id")
     upto_row = inside.rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum(units(F.col("savings_usd"))).over(upto_row)
-    # one row per range, at most MAX_RANGES of them
-    return (
-        rows.select("created_at", "id", "_range",
-                    F.row_number().over(inside).alias("_n"), running.alias("_saved"))
-        .join(F.broadcast(offsets), "_range")
-        .select(
-            "id", "created_at",
-            (F.col("_n") + F.col("rows_before")).cast("long").alias("position"), "rows",
-            dollars(from_units(F.coalesce("_saved", F.lit(0)) + F.col("saved_before"))).alias("cumulative_savings"),
-        )
-    )
+    running = rows.select(
+        "created_at", "id", "_range", F.row_number().over(inside).alias("_n"),
+        F.coalesce(F.sum(units(F.col("savings_usd"))).over(upto_row), F.lit(0).cast("long")).alias("_saved"),
+        *([F.count("*").over(Window.partitionBy("_range")).alias("rows")] if single else []))
+    nothing = F.lit(0).cast("long")
+    if single:
+        placed = running.withColumn("rows_before", nothing).withColumn("saved_before", nothing)
+    else:
+        totals = rows.groupBy("_range").agg(F.count("*").alias("n"), F.sum(units(F.col("savings_usd"))).alias("saved"))
+        # one row per range, at most MAX_RANGES of them
+        placed = running.join(F.broadcast(_before(totals, [], {"n": "rows_before", "saved": "saved_before"})), "_range")
+    return placed.select(
+        "id", "created_at", (F.col("_n") + F.col("rows_before")).cast("long").alias("position"), "rows",
+        dollars(from_units(F.col("_saved") + F.col("saved_before"))).alias("cumulative_savings"))
 
 
 def downsample(series: DataFrame, points: int) -> DataFrame:
@@ -87,13 +87,16 @@ def exact_quantiles(
     ranges of (group, value).
     """
     counted = materialise(df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n")))
-    ranged = with_range(counted, [by, value], rows_per_range)
-    totals = ranged.groupBy(by, "_range").agg(F.sum("n").alias("n"))
-    offsets = _before(totals, [by], {"n": "before"})
+    ranged, single = with_range(counted, [by, value], rows_per_range)
     inside = Window.partitionBy(by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = ranged.withColumn("_upto", F.sum("n").over(inside))
+    if single:
+        placed = upto.withColumn("before", F.lit(0)).withColumn("rows", F.sum("n").over(Window.partitionBy(by, "_range")))
+    else:
+        totals = ranged.groupBy(by, "_range").agg(F.sum("n").alias("n"))
+        placed = upto.join(_before(totals, [by], {"n": "before"}), [by, "_range"])
     ranks = (
-        ranged.withColumn("_upto", F.sum("n").over(inside))
-        .join(offsets, [by, "_range"])
+        placed
         .withColumn("_last", F.col("_upto") + F.col("before") - 1)
         .withColumn("_first", F.col("_last") - F.col("n") + 1)
     )

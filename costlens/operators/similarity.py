@@ -124,19 +124,45 @@ def _blocks(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, ri
     )
 
 
-def similar_entries(
+def attach_best(
     queries: DataFrame,
     entries: DataFrame,
+    payload: list[str],
     threshold: float = K.CACHE_THRESHOLD,
     ttl_seconds: int | None = None,
     block_rows: int = BLOCK_ROWS,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """``query_id, cache_id, score``: each query's best entry with score >= threshold.
+    """Every query (without its vector) beside ``cache_id, score`` and the payload of its best entry.
 
-    Equal scores (to 12 digits) go to the smallest cache_id. With ``ttl_seconds`` an entry counts
-    only while ``stored_at <= asked_at < stored_at + ttl``.
+    Queries without a match keep nulls. Equal scores (to 12 digits) go to the smallest cache_id.
+    With ``ttl_seconds`` an entry counts only while ``stored_at <= asked_at < stored_at + ttl``.
     """
+    timed = ttl_seconds is not None
+    span = F.lit((ttl_seconds or 0) * 1_000_000)
+    start = F.unix_micros("stored_at") if timed else F.lit(0)
+    e = _vectors(entries).select(
+        "cache_id", "embedding", "_dim", *payload, *([start.alias("start"), (start + span).alias("until")] if timed else []))
+    head = _small(e, max_broadcast_rows)
+    if head is not None:
+        q = queries.withColumn("embedding", as_doubles(F.col("embedding")))
+        if timed:
+            q = q.withColumn("at", F.unix_micros("asked_at"))
+        return _attach_broadcast(q, e, head, _matcher(threshold, timed), queries.drop("embedding").columns, ["cache_id", *payload])
+    found = similar_entries(queries, entries, threshold, ttl_seconds, block_rows, 0)
+    served = salted_join(found, entries.select("cache_id", *payload), ["cache_id"], "query_id")
+    return queries.drop("embedding").join(served, "query_id", "left")
+
+
+def similar_entries(
+    queries: DataFrame,
+    entries: DataFrame,
+    threshold: float = K.CACHE_THRESHOLD,
+    ttl_seconds: int | None = None,
+    block_rows: int = BLOCK_ROWS,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """``query_id, cache_id, score`` of the queries that have a match (see ``attach_best``)."""
     if ttl_seconds is not None:
         span = ttl_seconds * 1_000_000
         start = F.unix_micros("stored_at")
@@ -148,7 +174,7 @@ def similar_entries(
     q = _vectors(queries.select("query_id", "embedding"))
     head = _small(e, max_broadcast_rows)
     if head is not None:
-        return _best_broadcast(q, e, head, _matcher(threshold))
+        return _attach_broadcast(q, e, head, _matcher(threshold), ["query_id"], ["cache_id"]).where("cache_id IS NOT NULL")
     # copies of an entry are one entry and copies of a question one question
     e = e.groupBy("embedding", "_dim").agg(F.min("cache_id").alias("cache_id"))
     q = q.withColumn("_vector", _vector_key())
@@ -174,7 +200,7 @@ def similar_alive(
     matcher = _matcher(threshold, timed=True, earlier_only=earlier_only)
     head = _small(e, max_broadcast_rows)
     if head is not None:
-        return _best_broadcast(q, e, head, matcher)
+        return _attach_broadcast(q, e, head, matcher, ["query_id"], ["cache_id"]).where("cache_id IS NOT NULL")
     now = F.floor(F.col("at") / span)
     return _best_blocks(
         q.withColumn("_bucket", F.explode(F.array(now, now - 1))),
@@ -194,12 +220,12 @@ def _vector_key() -> Column:
 
 
 def _matcher(threshold: float, timed: bool = False, earlier_only: bool = False):
-    """A function of two Arrow tables: one row per query of the first with its best match."""
+    """A function of two Arrow tables: which rows of the first have a match, where, and its score."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive: unrelated vectors score zero")
 
-    def match(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        width = asked.column("_dim")[0].as_py()
+    def match(asked: pa.Table, stored: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        width = len(asked.column("embedding")[0])
         score = _unit(_matrix(asked.column("embedding"), width)) @ _unit(_matrix(stored.column("embedding"), width)).T
         allowed = score >= threshold
         if timed:
@@ -214,40 +240,44 @@ def _matcher(threshold: float, timed: bool = False, earlier_only: bool = False):
         ranked = np.where(allowed, np.round(score, SCORE_DIGITS), -2.0)
         best = ranked.argmax(axis=1)
         rows = np.flatnonzero(ranked[np.arange(len(best)), best] > -2.0)
-        return pa.table({
-            "query_id": asked.column("query_id").take(pa.array(rows)),
-            "cache_id": stored.column("cache_id").take(pa.array(best[rows])),
-            "score": pa.array(score[rows, best[rows]]),
-        })
+        return rows, best[rows], score[rows, best[rows]]
 
     return match
 
 
-def _match_type(q: DataFrame, e: DataFrame) -> T.StructType:
-    return T.StructType([
-        T.StructField("query_id", q.schema["query_id"].dataType),
-        T.StructField("cache_id", e.schema["cache_id"].dataType),
-        T.StructField("score", T.DoubleType()),
-    ])
-
-
-def _best_broadcast(q: DataFrame, e: DataFrame, head: pa.Table, match) -> DataFrame:
+def _attach_broadcast(q: DataFrame, e: DataFrame, head: pa.Table, match, kept: list[str], payload: list[str]) -> DataFrame:
     """Every query meets all entries where it is; nothing is shuffled."""
     head = head.sort_by("cache_id")
     dims = np.asarray(head.column("_dim"))
     by_width = {int(d): head.filter(pa.array(dims == d)).combine_chunks() for d in np.unique(dims)}
-    shared = q.sparkSession.sparkContext.broadcast(by_width)
+    shared = q.sparkSession.sparkContext.broadcast((by_width, head.select(payload).slice(0, 0)))
+    schema = T.StructType([
+        *[q.schema[c] for c in kept], *[T.StructField(c, e.schema[c].dataType) for c in payload], T.StructField("score", T.DoubleType())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, nothing = shared.value
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            widths = np.asarray(table.column("_dim"))
-            for width in np.intersect1d(np.unique(widths), list(shared.value)):
-                rows = table.filter(pa.array(widths == width))
-                for start in range(0, rows.num_rows, _CHUNK):
-                    yield from match(rows.slice(start, _CHUNK), shared.value[int(width)]).to_batches()
-
-    return q.mapInArrow(search, _match_type(q, e))
+            widths = np.asarray(batch.column("embedding").value_lengths().fill_null(0))
+            asked = pa.Table.from_batches([batch])
+            for width in np.unique(widths):
+                same = asked.filter(pa.array(widths == width))
+                for start in range(0, same.num_rows, _CHUNK):
+                    yield from answer(same.slice(start, _CHUNK), tables.get(int(width)), nothing)
+
+    def answer(asked: pa.Table, stored: pa.Table | None, nothing: pa.Table) -> list[pa.RecordBatch]:
+        where = np.full(asked.num_rows, -1)
+        score = np.full(asked.num_rows, np.nan)
+        if stored is not None:
+            rows, best, value = match(asked, stored)
+            where[rows], score[rows] = best, value
+        missing = pa.array(where < 0)
+        spots = pa.Array.from_pandas(where, mask=np.asarray(missing))
+        out = [asked.column(c) for c in kept]
+        out += [(nothing if stored is None else stored).column(c).take(spots) for c in payload]
+        out.append(pa.Array.from_pandas(score, mask=np.asarray(missing)))
+        return pa.table(out, names=[*kept, *payload, "score"]).combine_chunks().to_batches()
+
+    return q.mapInArrow(search, schema)
 
 
 def _best_blocks(q: DataFrame, e: DataFrame, threshold: float, match, keys: list[str], block_rows: int) -> DataFrame:
@@ -263,9 +293,16 @@ def _best_blocks(q: DataFrame, e: DataFrame, threshold: float, match, keys: list
             return pa.table({
                 "query_id": asked.column("query_id").slice(0, 0), "cache_id": stored.column("cache_id").slice(0, 0),
                 "score": pa.array([], pa.float64())})
-        return match(asked, stored.sort_by("cache_id"))
+        stored = stored.sort_by("cache_id")
+        rows, best, value = match(asked, stored)
+        return pa.table({
+            "query_id": asked.column("query_id").take(pa.array(rows)),
+            "cache_id": stored.column("cache_id").take(pa.array(best)), "score": pa.array(value)})
 
-    per_block = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(meet, _match_type(q, e))
+    schema = T.StructType([
+        T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("cache_id", e.schema["cache_id"].dataType),
+        T.StructField("score", T.DoubleType())])
+    per_block = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(meet, schema)
     rank = F.struct((-F.round("score", SCORE_DIGITS)).alias("s"), F.col("cache_id").alias("c"), F.col("score").alias("x"))
     return per_block.groupBy("query_id").agg(F.min(rank).alias("m")).select(
         "query_id", F.col("m.c").alias("cache_id"), F.col("m.x").alias("score"))

@@ -96,8 +96,7 @@ def eval_result_sink(spark, folder):
 
 
 def _answered(spark, folder):
-    messages = S.messages(spark, folder)
-    return V.last_user_message(messages).join(V.last_answer(messages), "conv_id").select(
+    return V.exchanges(S.messages(spark, folder)).select(
         "conv_id", F.col("question").alias("query"), F.col("answer").alias("response"),
         S.after_start(F.col("conv_id") * 60).alias("stored_at"))
 
@@ -160,13 +159,11 @@ def token_estimate_joined(spark, folder):
 
 @query
 def usage_coalesce(spark, folder):
-    messages = S.messages(spark, folder)
     key = F.col("conv_id")
     usage = F.struct(
         F.when(key % 5 != 0, key + 100).alias("prompt_tokens"), F.when(key % 7 != 0, key + 10).alias("completion_tokens"))
     calls = (
-        V.token_estimate_joined(messages).withColumnRenamed("estimated_tokens", "estimated_input")
-        .join(V.last_answer(messages), "conv_id")
+        V.exchanges(S.messages(spark, folder)).withColumnRenamed("joined_tokens", "estimated_input")
         .withColumn("estimated_output", F.floor(F.length("answer") / 4))
         .withColumn("usage", F.when(key % 3 != 0, usage))
     )
@@ -632,7 +629,7 @@ QUERIES["embed_text"] = _embed_text
 
 @query
 def route_batch(spark, folder):
-    asked = embed_text(route.questions(S.messages(spark, folder)), "question").select(
+    asked = embed_text(V.exchanges(S.messages(spark, folder)), "question").select(
         F.col("conv_id").alias("id"), S.after_start(F.col("conv_id") * 60).alias("created_at"), "question", "answer",
         "estimated_tokens", "embedding", F.length("answer").cast("double").alias("latency_ms"))
     routed = route.route_batch(asked, S.attempts(spark, folder), route.example_vectors(spark))

@@ -6,7 +6,7 @@ from costlens import constants as K
 from costlens.functions import text
 from costlens.functions.embedding import embed_text
 from costlens.functions.pricing import rate_card, with_costs
-from costlens.operators import attempts as A, cache, conversations, evaluation, grading
+from costlens.operators import attempts as A, cache, evaluation, grading
 from costlens.operators.skew import salted_join
 from costlens.session import materialise
 from costlens.sources.tables import example_questions
@@ -18,14 +18,6 @@ def example_vectors(spark) -> DataFrame:
     return made.select(F.col("utterance").alias("exemplar_id"), "tier", "embedding")
 
 
-def questions(messages: DataFrame) -> DataFrame:
-    """One row per conversation: question, answer and token estimates."""
-    asked = conversations.last_user_message(messages)
-    answered = conversations.last_answer(messages)
-    tokens = conversations.token_estimate(messages)
-    return asked.join(answered, "conv_id").join(tokens, "conv_id")
-
-
 def route_batch(requests: DataFrame, attempts: DataFrame, exemplars: DataFrame) -> DataFrame:
     """Log rows of a batch of requests.
 
