@@ -23,12 +23,12 @@ from costlens import constants as K
 from costlens.functions.vectors import as_doubles
 from costlens.operators.skew import salted_join
 
-BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
+BLOCK_ROWS = 8192
+MAX_PIVOTS = 1024
 MAX_BROADCAST_ROWS = 20_000
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 _CHUNK = 512
-_SLACK = 1e-9
+_SLACK = 1e-7
 SCORE_DIGITS = 12
 
 
@@ -75,24 +75,30 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, reach: float | None) -> DataF
     shared = df.sparkSession.sparkContext.broadcast(pivots)
     schema = T.StructType(df.schema.fields + [T.StructField("_cells", T.ArrayType(T.IntegerType()))])
 
+    def visited(near: np.ndarray, corners: np.ndarray, gaps: np.ndarray) -> list[np.ndarray]:
+        """Per query the cells within reach of every halfway plane."""
+        closest = near.argmax(axis=1)
+        ahead = near[np.arange(len(near)), closest][:, None] - near
+        # the plane to the closest pivot rules out most cells, the others are tried on the rest
+        query, cell = np.nonzero(ahead <= reach * gaps[closest] + _SLACK)
+        keep = np.concatenate([
+            (near[q] - near[q, c][:, None] <= reach * gaps[c] + _SLACK).all(axis=1)
+            for q, c in ((query[i:i + _CHUNK], cell[i:i + _CHUNK]) for i in range(0, len(query), _CHUNK))])
+        return np.split(cell[keep], np.searchsorted(query[keep], np.arange(1, len(near))))
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corners = shared.value
-        gaps = np.linalg.norm(corners[:, None, :] - corners[None, :, :], axis=2)
+        gaps = np.sqrt(np.maximum(0.0, 2 - 2 * corners @ corners.T)) if reach is not None else None
         for batch in batches:
             dims = np.asarray(batch.column("_dim"))
-            cells: list[list[int]] = [[0]] * len(dims)
+            cells: list = [[0]] * len(dims)
             fits = np.flatnonzero(dims == corners.shape[1])
-            if len(fits):
-                near = _unit(_matrix(batch.column("embedding").take(pa.array(fits)), corners.shape[1])) @ corners.T
-                if reach is None:
-                    for row, cell in zip(fits, near.argmax(axis=1)):
-                        cells[row] = [int(cell)]
-                else:
-                    open_to = np.stack([
-                        (near - near[:, [i]] <= reach * gaps[i] + _SLACK).all(axis=1) for i in range(len(corners))
-                    ], axis=1)
-                    for row, flags in zip(fits, open_to):
-                        cells[row] = np.flatnonzero(flags).tolist()
+            for start in range(0, len(fits), _CHUNK):
+                part = fits[start:start + _CHUNK]
+                near = _unit(_matrix(batch.column("embedding").take(pa.array(part)), corners.shape[1])) @ corners.T
+                found = near.argmax(axis=1)[:, None] if reach is None else visited(near, corners, gaps)
+                for row, numbers in zip(part, found):
+                    cells[row] = numbers.tolist()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cells, pa.list_(pa.int32()))],
                 names=[*batch.schema.names, "_cells"])
@@ -294,10 +300,14 @@ def _best_blocks(q: DataFrame, e: DataFrame, threshold: float, match, keys: list
                 "query_id": asked.column("query_id").slice(0, 0), "cache_id": stored.column("cache_id").slice(0, 0),
                 "score": pa.array([], pa.float64())})
         stored = stored.sort_by("cache_id")
-        rows, best, value = match(asked, stored)
-        return pa.table({
-            "query_id": asked.column("query_id").take(pa.array(rows)),
-            "cache_id": stored.column("cache_id").take(pa.array(best)), "score": pa.array(value)})
+        parts = []
+        for start in range(0, asked.num_rows, _CHUNK):
+            some = asked.slice(start, _CHUNK)
+            rows, best, value = match(some, stored)
+            parts.append(pa.table({
+                "query_id": some.column("query_id").take(pa.array(rows)),
+                "cache_id": stored.column("cache_id").take(pa.array(best)), "score": pa.array(value)}))
+        return pa.concat_tables(parts)
 
     schema = T.StructType([
         T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("cache_id", e.schema["cache_id"].dataType),
@@ -391,8 +401,9 @@ def _nearest_blocks(queries: DataFrame, examples: DataFrame, k: int, block_rows:
         known = known.sort_by("exemplar_id")
         width = len(known.column("embedding")[0])
         unit = _unit(_matrix(known.column("embedding"), width))
-        found = _top(asked.column("embedding"), unit, known.column("exemplar_id").combine_chunks(),
-                     known.column("tier").combine_chunks(), k)
+        ids, tiers = known.column("exemplar_id").combine_chunks(), known.column("tier").combine_chunks()
+        found = pa.chunked_array([
+            _top(asked.column("embedding").slice(start, _CHUNK), unit, ids, tiers, k) for start in range(0, asked.num_rows, _CHUNK)])
         return pa.table({"query_id": asked.column("query_id"), "neighbours": found})
 
     on = ["_all", "_lb", "_rb"]
