@@ -226,27 +226,27 @@ def _vector_key() -> Column:
 
 
 def _matcher(threshold: float, timed: bool = False, earlier_only: bool = False):
-    """A function of two Arrow tables: which rows of the first have a match, where, and its score."""
+    """A function of questions, entries and the entries' unit vectors: which questions have a
+    match, which entry it is, and its score."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive: unrelated vectors score zero")
 
-    def match(asked: pa.Table, stored: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        width = len(asked.column("embedding")[0])
-        score = _unit(_matrix(asked.column("embedding"), width)) @ _unit(_matrix(stored.column("embedding"), width)).T
-        allowed = score >= threshold
+    def match(asked: pa.Table, stored: pa.Table, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        score = _unit(_matrix(asked.column("embedding"), directions.shape[1])) @ directions.T
+        row, entry = np.nonzero(score >= threshold)
         if timed:
-            at = np.asarray(asked.column("at"))[:, None]
-            start = np.asarray(stored.column("start"))[None, :]
-            begun = start <= at
+            at = np.asarray(asked.column("at"))[row]
+            start = np.asarray(stored.column("start"))[entry]
+            alive = (start <= at) & (at < np.asarray(stored.column("until"))[entry])
             if earlier_only:
-                later_id = np.asarray(stored.column("cache_id"))[None, :] >= np.asarray(asked.column("query_id"))[:, None]
-                begun &= ~((start == at) & later_id)
-            allowed &= begun & (at < np.asarray(stored.column("until"))[None, :])
-        # entries come in id order, so the first of equal rounded scores has the smallest id
-        ranked = np.where(allowed, np.round(score, SCORE_DIGITS), -2.0)
-        best = ranked.argmax(axis=1)
-        rows = np.flatnonzero(ranked[np.arange(len(best)), best] > -2.0)
-        return rows, best[rows], score[rows, best[rows]]
+                earlier_id = np.asarray(stored.column("cache_id"))[entry] < np.asarray(asked.column("query_id"))[row]
+                alive &= (start < at) | earlier_id
+            row, entry = row[alive], entry[alive]
+        value = score[row, entry]
+        # entries come in id order: among equal rounded scores the smallest id is first
+        order = np.lexsort((entry, -np.round(value, SCORE_DIGITS), row))
+        best = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+        return row[best], entry[best], value[best]
 
     return match
 
@@ -262,19 +262,20 @@ def _attach_broadcast(q: DataFrame, e: DataFrame, head: pa.Table, match, kept: l
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, nothing = shared.value
+        known = {width: (table, _unit(_matrix(table.column("embedding"), width))) for width, table in tables.items()}
         for batch in batches:
             widths = np.asarray(batch.column("embedding").value_lengths().fill_null(0))
             asked = pa.Table.from_batches([batch])
             for width in np.unique(widths):
                 same = asked.filter(pa.array(widths == width))
                 for start in range(0, same.num_rows, _CHUNK):
-                    yield from answer(same.slice(start, _CHUNK), tables.get(int(width)), nothing)
+                    yield from answer(same.slice(start, _CHUNK), *known.get(int(width), (None, None)), nothing)
 
-    def answer(asked: pa.Table, stored: pa.Table | None, nothing: pa.Table) -> list[pa.RecordBatch]:
+    def answer(asked: pa.Table, stored: pa.Table | None, directions: np.ndarray | None, nothing: pa.Table) -> list[pa.RecordBatch]:
         where = np.full(asked.num_rows, -1)
         score = np.full(asked.num_rows, np.nan)
         if stored is not None:
-            rows, best, value = match(asked, stored)
+            rows, best, value = match(asked, stored, directions)
             where[rows], score[rows] = best, value
         missing = pa.array(where < 0)
         spots = pa.Array.from_pandas(where, mask=np.asarray(missing))
@@ -300,10 +301,11 @@ def _best_blocks(q: DataFrame, e: DataFrame, threshold: float, match, keys: list
                 "query_id": asked.column("query_id").slice(0, 0), "cache_id": stored.column("cache_id").slice(0, 0),
                 "score": pa.array([], pa.float64())})
         stored = stored.sort_by("cache_id")
+        directions = _unit(_matrix(stored.column("embedding"), stored.column("_dim")[0].as_py()))
         parts = []
         for start in range(0, asked.num_rows, _CHUNK):
             some = asked.slice(start, _CHUNK)
-            rows, best, value = match(some, stored)
+            rows, best, value = match(some, stored, directions)
             parts.append(pa.table({
                 "query_id": some.column("query_id").take(pa.array(rows)),
                 "cache_id": stored.column("cache_id").take(pa.array(best)), "score": pa.array(value)}))
