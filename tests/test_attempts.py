@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from costlens.operators import attempts, conversations
 
 COLUMNS = "request_id string, attempt_no int, provider string, tier string, error_text string"
