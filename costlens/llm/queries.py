@@ -39,10 +39,10 @@ pairs AS (
 links AS (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
   WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT doc_id AS a, doc_id AS b FROM documents
-  UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a)
+  UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = d.doc_id
 """
