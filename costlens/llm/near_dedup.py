@@ -7,8 +7,9 @@ members branches again at positions of its own choice, unless its members resemb
 branching cannot part them, and the node is compared in pairs of blocks). The trees repeat independently.
 Pairs whose sketches agree often enough join a candidate cluster; inside a cluster, full sets decide.
 
-With the default parameters a pair at the threshold shares no root node with probability 0.25 ** 16, and
-is refused by its sketches (70 of 128 positions; 96 are expected) with probability under 1e-6.
+With the default parameters a pair at the threshold shares no root node with probability 0.25 ** 16. Below
+large nodes it survives a tree with probability over 0.66 at any depth, so it is lost in all 16 trees with
+probability under 1e-7. It is refused by its sketches (70 of 128 positions; 96 are expected) with probability under 1e-6.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Rows without doc_id
 link with nothing, have a null component and are kept. Repeated rows get the same component. Other columns
@@ -27,7 +28,7 @@ from costlens.session import materialise
 
 POSITIONS = 128
 ROOTS = 16
-CHILDREN = 4
+CHILDREN = 2
 LEAF = 1000
 LEVELS = 5
 DENSE = 0.3
@@ -164,7 +165,7 @@ def candidate_nodes(classes: DataFrame) -> DataFrame:
         large = level.where(F.col("n") > LEAF)
         if large.isEmpty():
             break
-        position = F.pmod(F.xxhash64("node", F.col("_child")), F.lit(POSITIONS)).cast("int")
+        position = (ROOTS + F.pmod(F.xxhash64("node", F.col("_child")), F.lit(POSITIONS - ROOTS))).cast("int")
         value = F.expr("substring(sketch, _position * 2 + 1, 2)")
         children = materialise(
             large.join(classes.select("doc", "sketch"), "doc").withColumn("_child", F.explode(F.sequence(F.lit(1), F.lit(CHILDREN))))
