@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 from costlens.session import materialise
@@ -106,3 +107,22 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = after
+
+
+def in_ranges(docs: DataFrame, target_bytes: int) -> tuple[DataFrame, list[int], int]:
+    """Documents with ``chunk``, the number of their range of doc_id, of about ``target_bytes`` of text each.
+
+    Ranges ascend with doc_id (null first). Also the smallest id of each range, as found in the data, and all
+    bytes of text. Every row of one doc_id is in one range.
+    """
+    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, round(total / target_bytes))
+    found = docs.agg(F.percentile_approx(order, [i / count for i in range(count)], 20 * count + 1000).alias("cuts")).first()[0]
+    cuts = sorted(set(found or [-(2**63)]))
+    splits = [float("-inf"), *sorted({float(cut) for cut in cuts[1:]} - {float(cuts[0])}), float("inf")]
+    if len(splits) == 2:
+        return docs.withColumn("chunk", F.lit(0).cast("long")), cuts, total
+    placed = docs.withColumn("_order", order.cast("double"))
+    placed = Bucketizer(splits=splits, inputCol="_order", outputCol="_chunk").transform(placed)
+    return placed.withColumn("chunk", F.col("_chunk").cast("long")).drop("_order", "_chunk"), cuts, total
