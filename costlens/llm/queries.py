@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlens.llm import near_dedup, substring_dedup
+from costlens.llm import fingerprint, near_dedup, packing, substring_dedup
 from costlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,14 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
   sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE [w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(g, k)] END, ' ')) AS kept_sha256
 FROM words LEFT JOIN gone USING (doc_id)
 """
+
+
+@query
+def op4_improbable_features(spark, folder):
+    out = fingerprint.fingerprints(table(spark, folder, "documents"))
+    return out.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+
+
+@query
+def op8_pattern_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
