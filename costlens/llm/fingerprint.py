@@ -45,21 +45,27 @@ def entropy_levels(data: np.ndarray) -> np.ndarray:
     size = len(data) - WINDOW + 1
     if size <= 0:
         return np.empty(0, np.int16)
-    order = np.argsort(data, kind="stable")
+    order = np.argsort(data, kind="stable").astype(np.int32)
     sorted_bytes = data[order]
-    steps = np.zeros(len(data) + 1, np.float64)  # sums of integers under 2**53: exact
-    back = 0
-    here, there = order, order
-    while len(here):
-        weight = float(_SECOND[back])
-        if weight:
-            # windows s with here - WINDOW < s <= there
-            steps += weight * (np.bincount(np.maximum(here - WINDOW + 1, 0), minlength=len(steps)) - np.bincount(there + 1, minlength=len(steps)))
-        back += 1
-        if back >= WINDOW or back >= len(order):
+    active = np.arange(1, len(data), dtype=np.int32)
+    steps = np.zeros(len(data) + 1)  # sums of integers under 2**53: exact
+    rare_at, rare_weight = [], []
+    for back in range(1, WINDOW):  # one byte alone adds nothing
+        here, there = order[active], order[active - back]
+        fits = (here - there < WINDOW) & (sorted_bytes[active] == sorted_bytes[active - back])
+        active, here, there = active[fits], here[fits], there[fits]
+        if not len(active):
             break
-        fits = (sorted_bytes[back:] == sorted_bytes[:-back]) & (order[back:] - order[:-back] < WINDOW)
-        here, there = order[back:][fits], order[:-back][fits]
+        weight = float(_SECOND[back])  # for the windows s with here - WINDOW < s <= there
+        begin, end = np.maximum(here - (WINDOW - 1), 0), there + 1
+        if 8 * len(here) > len(data):
+            steps += weight * (np.bincount(begin, minlength=len(steps)) - np.bincount(end, minlength=len(steps)))
+        else:
+            rare_at += [begin, end]
+            rare_weight += [np.full(len(here), weight), np.full(len(here), -weight)]
+        active = active[active > back]
+    if rare_at:
+        steps += np.bincount(np.concatenate(rare_at), np.concatenate(rare_weight), minlength=len(steps))
     total = np.cumsum(steps)[:size]
     entropy = np.log2(WINDOW) - total / 2**20 / WINDOW
     return np.clip(np.round(entropy / np.log2(WINDOW) * LEVELS), 0, LEVELS).astype(np.int16)
