@@ -25,7 +25,7 @@ from costlens.session import materialise
 LIMIT = 2048
 END_ID = 0
 GRID = 8
-RANK_ROWS = 100_000
+RANK_ROWS = 10_000
 CACHED_WORDS = 1_000_000
 CACHED_BYTES = 64
 _tokenizers: dict[str, tuple] = {}
