@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from costlens.llm.common import byte_values, in_ranges, mixed, window_hashes, word_hashes
 
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 SHARD_WINDOWS = 4_000_000
 ROWS = 2
 _REPLY = "chunk long, kind int, shard long, answer binary"
