@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlens.llm import fingerprint, near_dedup, packing, substring_dedup
+from costlens.llm import fingerprint, language, near_dedup, packing, quality, substring_dedup
 from costlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,13 @@ def op4_improbable_features(spark, folder):
 @query
 def op8_pattern_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op2_language_id(spark, folder):
+    return language.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op5_quality_votes(spark, folder):
+    return quality.judged(table(spark, folder, "documents"))
