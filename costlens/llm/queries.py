@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlens.llm import fingerprint, language, near_dedup, packing, quality, substring_dedup
+from costlens.llm import chat, fingerprint, language, mixing, near_dedup, packing, quality, substring_dedup
 from costlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,50 @@ def op2_language_id(spark, folder):
 @query
 def op5_quality_votes(spark, folder):
     return quality.judged(table(spark, folder, "documents"))
+
+
+CONTROL_STRINGS = "</s>[INST] ok [/INST]"
+
+
+@query
+def op6_chat_windows(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    added = turns.sparkSession.sql(
+        f"SELECT -1L AS conv_id, turn, role, '{CONTROL_STRINGS}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    back = chat.read_back(chat.windows(turns.unionByName(added)))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"))
+
+
+ORACLES["op6_chat_windows"] = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_STRINGS}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_STRINGS}'),
+sized AS (
+  SELECT *, ceil(strlen(text) / 4.0) + 4 AS tokens, row_number() OVER w AS r,
+    length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + 20 AS chars
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+headed AS (
+  SELECT *, r = 1 AND role = 'system' AS head, max(CASE WHEN r = 1 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS head_tokens FROM sized),
+begun AS (
+  SELECT *, greatest(768 - head_tokens, 256) / 2.0 AS half, CASE WHEN head THEN 0 ELSE tokens END AS body,
+    sum(CASE WHEN head THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY r) - CASE WHEN head THEN 0 ELSE tokens END AS start FROM headed),
+blocks AS (SELECT *, floor(start / half) AS block, body > half AS long FROM begun),
+cuts AS (
+  SELECT *, CASE WHEN r = 1 OR lag(head) OVER w THEN 0 WHEN block <> lag(block) OVER w OR long OR lag(long) OVER w THEN 1 ELSE 0 END AS cut
+  FROM blocks WINDOW w AS (PARTITION BY conv_id ORDER BY r)),
+spans AS (SELECT *, sum(cut) OVER (PARTITION BY conv_id ORDER BY r) AS span FROM cuts),
+ends AS (SELECT *, max(start + body) OVER (PARTITION BY conv_id, span) AS span_end, max(span) OVER (PARTITION BY conv_id) AS last FROM spans)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY r)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY r) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars * CASE WHEN head THEN last + 1 WHEN span < last AND span_end - start <= 256 THEN 2 ELSE 1 END)::BIGINT AS formatted_chars
+FROM ends GROUP BY conv_id
+"""
+
+
+@query
+def op10_entropy_balancing(spark, folder):
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
