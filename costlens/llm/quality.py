@@ -3,7 +3,8 @@
 The votes of a document are one pattern. Patterns are counted over all documents (at most 3 ** rules rows,
 whatever the input), expectation-maximisation on the counts estimates how often each rule votes what about
 good and about bad documents, and the posterior probability of good is the verdict. Rules start from the
-belief that a vote is right in four of five cases; that belief weighs as much as a twentieth of the data.
+belief that a good document breaks one rule in fifty, a bad one about a third of them; that belief weighs
+as much as a twentieth of the data.
 
 Null texts have no words. Repeated rows get one row each. Other columns are ignored.
 """
@@ -30,7 +31,7 @@ _LETTER[128:] = True
 
 
 def counts_of(text: bytes) -> tuple[int, ...]:
-    """COUNTS, then capital ASCII letters, letters' bytes, distinct words, words that end a sentence, lines with a word."""
+    """COUNTS, then capital ASCII letters, letters' bytes, distinct words, words that end a sentence, lines with a word, words with a symbol."""
     data, words = np.frombuffer(text, np.uint8), text.split()
     numbers: dict[bytes, int] = {}
     ids = np.fromiter((numbers.setdefault(word, len(numbers)) for word in words), np.int64, len(words))
@@ -44,16 +45,19 @@ def counts_of(text: bytes) -> tuple[int, ...]:
         step[twice + 3] -= 1
         repeated = int((np.cumsum(step[:-1]) > 0).sum())
     lines = [line for line in text.split(b"\n") if line.strip(b" \t\n\v\f\r")]
+    space, symbol = _SPACE[data], _SYMBOL[data]
+    number = np.cumsum(~space & np.concatenate([[True], space[:-1]]))
+    marked = len(np.unique(number[symbol]))
     ends = sum(word.endswith((b".", b"!", b"?")) for word in words)
-    return (len(words), int(((data & 0xC0) != 0x80).sum() - _SPACE[data].sum()), int(_SYMBOL[data].sum()), len(lines) - len(set(lines)), repeated,
-            int(_UPPER[data].sum()), int(_LETTER[data].sum()), len(numbers), ends, len(lines))
+    return (len(words), int(((data & 0xC0) != 0x80).sum() - space.sum()), int(symbol.sum()), len(lines) - len(set(lines)), repeated,
+            int(_UPPER[data].sum()), int(_LETTER[data].sum()), len(numbers), ends, len(lines), marked)
 
 
 def votes_of(counts: tuple[int, ...]) -> list[int]:
     """The rules: 1 good, -1 bad, 0 abstain."""
-    n, chars, symbols, dup_lines, repeated, upper, letters, distinct, ends, lines = counts
+    n, chars, symbols, dup_lines, repeated, upper, letters, distinct, ends, lines, marked = counts
     if not n:
-        return [-1] + [0] * 7
+        return [-1] + [0] * 9
 
     def rule(bad: bool, good: bool) -> int:
         return -1 if bad else 1 if good else 0
@@ -62,15 +66,17 @@ def votes_of(counts: tuple[int, ...]) -> list[int]:
         rule(n < LEAST_WORDS, n >= 80),
         rule(not 2.5 <= chars / n <= 12, 3.5 <= chars / n <= 9),
         rule(symbols > 0.2 * n, symbols <= 0.02 * n),
-        rule(dup_lines > 0.3 * lines, dup_lines <= 0.1 * lines),
+        rule(dup_lines > 0.3 * lines, dup_lines <= 0.1 * lines) if lines >= 8 else 0,
         rule(repeated > 0.3 * n, repeated <= 0.1 * n),
         rule(upper > 0.5 * letters, upper <= 0.2 * letters),
         rule(distinct < 0.1 * n, distinct >= 0.3 * n) if n >= 20 else 0,
         rule(ends > 0.6 * n, 0 < ends <= 0.3 * n),
+        rule(marked > 0.15 * n, marked <= 0.02 * n),
+        rule(symbols > 0.05 * chars, symbols <= 0.01 * chars),
     ]
 
 
-RULES = len(votes_of((0,) * 10))
+RULES = len(votes_of((0,) * 11))
 
 
 def _rows(batches):
@@ -85,11 +91,11 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
     """The probability of good for each pattern, and P(vote | good or bad) of each rule (bad, abstain, good)."""
     votes = (patterns[:, None] // 3 ** np.arange(RULES)) % 3
     total = counts.sum()
-    belief = np.array([[0.6, 0.25, 0.15], [0.15, 0.25, 0.6]]) * 0.05 * total  # bad documents, good documents
-    good = 1 / (1 + np.exp(-(votes - 1).sum(axis=1).astype(float)))
+    belief = np.array([[0.3, 0.15, 0.55], [0.02, 0.23, 0.75]])  # bad documents, good documents
+    good = 1 / (1 + np.exp(-np.log(belief[1] / belief[0])[votes].sum(axis=1)))
     for _ in range(rounds):
         weight = np.stack([(1 - good) * counts, good * counts])
-        table = np.stack([[np.bincount(votes[:, rule], weight[side], minlength=3) + belief[side] for rule in range(RULES)] for side in (0, 1)])
+        table = np.stack([[np.bincount(votes[:, rule], weight[side], minlength=3) + 0.05 * total * belief[side] for rule in range(RULES)] for side in (0, 1)])
         table /= table.sum(axis=2, keepdims=True)
         prior = (weight.sum(axis=1) + 0.01 * total) / (1.02 * total)
         log = np.log(prior)[:, None] + sum(np.log(table[:, rule, votes[:, rule]]) for rule in range(RULES))
