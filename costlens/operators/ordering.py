@@ -26,11 +26,14 @@ def with_range(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RA
     if ranges <= 1:
         return df.withColumn("_range", F.lit(0)), True
     fraction = min(1.0, _SAMPLES_PER_RANGE * ranges / total)
-    sample = sorted(tuple(row) for row in df.select(*keys).sample(fraction, seed=7).collect())
-    cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+    def nulls_first(row: tuple) -> list[tuple]:
+        return [(value is not None, value) if value is not None else (False,) for value in row]
+
+    sample = sorted((tuple(row) for row in df.select(*keys).sample(fraction, seed=7).collect()), key=nulls_first)
+    cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}, key=nulls_first) if sample else []
     if not cuts:
         return df.withColumn("_range", F.lit(0)), True
-    bounds = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, cut)]) for cut in cuts])
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, cut)]) for cut in cuts])
     steps = [1 << bit for bit in reversed(range(len(cuts).bit_length()))]
     key = F.struct(*[F.col(k) for k in keys])
 
@@ -94,7 +97,8 @@ def exact_quantiles(
         placed = upto.withColumn("before", F.lit(0)).withColumn("rows", F.sum("n").over(Window.partitionBy(by, "_range")))
     else:
         totals = ranged.groupBy(by, "_range").agg(F.sum("n").alias("n"))
-        placed = upto.join(_before(totals, [by], {"n": "before"}), [by, "_range"])
+        before = _before(totals, [by], {"n": "before"}).withColumnsRenamed({by: "_by", "_range": "_in"})
+        placed = upto.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_in"))).drop("_by", "_in")
     ranks = (
         placed
         .withColumn("_last", F.col("_upto") + F.col("before") - 1)

@@ -249,17 +249,17 @@ def latency_percentiles_approx(logs: DataFrame, accuracy: int = 10_000) -> DataF
 
 
 def _fences(logs: DataFrame) -> DataFrame:
-    """One row per tier; the tiers of a valid log are four."""
+    """One row per tier, null included, its name in ``_tier``."""
     quartiles = exact_quantiles(logs, "tier", "latency_ms", [0.25, 0.5, 0.75])
     spread = (F.col("q2") - F.col("q0")) * 1.5
-    return quartiles.select("tier", "q0", "q1", "q2", (F.col("q0") - spread).alias("low"), (F.col("q2") + spread).alias("high"))
+    return quartiles.select(F.col("tier").alias("_tier"), "q0", "q1", "q2", (F.col("q0") - spread).alias("low"), (F.col("q2") + spread).alias("high"))
 
 
 def latency_box(logs: DataFrame) -> DataFrame:
     """Quartiles, whisker ends and outlier count per tier."""
     inside = F.col("latency_ms").between(F.col("low"), F.col("high"))
     return (
-        logs.select("tier", "latency_ms").join(F.broadcast(_fences(logs)), "tier")
+        logs.select("tier", "latency_ms").join(_fences(logs), F.col("tier").eqNullSafe(F.col("_tier")))
         .groupBy("tier", "q0", "q1", "q2").agg(
             F.min(F.when(inside, F.col("latency_ms"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("latency_ms"))).alias("whisker_high"),
@@ -271,7 +271,7 @@ def latency_box(logs: DataFrame) -> DataFrame:
 
 def latency_outliers(logs: DataFrame) -> DataFrame:
     """The rows beyond the whiskers."""
-    joined = logs.join(F.broadcast(_fences(logs)), "tier")
+    joined = logs.join(_fences(logs), F.col("tier").eqNullSafe(F.col("_tier")))
     return joined.where(~F.col("latency_ms").between(F.col("low"), F.col("high"))).select("id", "tier", "latency_ms")
 
 

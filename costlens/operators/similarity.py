@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from costlens import constants as K
@@ -362,9 +363,12 @@ def nearest(
     examples = exemplars.select("exemplar_id", "tier", as_doubles(F.col("embedding")).alias("embedding"))
     queries = queries.withColumn("embedding", as_doubles(F.col("embedding")))
     head = _small(examples, max_broadcast_rows)
-    if head is not None:
+    if head is not None and not head.num_rows:
+        return queries.drop("embedding").withColumn("neighbours", F.array().cast(_neighbour_type(examples)))
+    if head is not None and pc.count_distinct(pc.list_value_length(head.column("embedding"))).as_py() == 1:
         return _nearest_broadcast(queries, examples, head.sort_by("exemplar_id"), k)
-    return _nearest_blocks(queries, examples, k, block_rows)
+    found = _nearest_blocks(queries, examples, k, block_rows)
+    return found.withColumn("neighbours", F.coalesce("neighbours", F.array().cast(_neighbour_type(examples))))
 
 
 def _nearest_broadcast(queries: DataFrame, examples: DataFrame, head: pa.Table, k: int) -> DataFrame:

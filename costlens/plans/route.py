@@ -18,16 +18,24 @@ def example_vectors(spark) -> DataFrame:
     return made.select(F.col("utterance").alias("exemplar_id"), "tier", "embedding")
 
 
+def failed_requests(requests: DataFrame, attempts: DataFrame) -> DataFrame:
+    """``id, request_id, first_error`` of the requests that no tier and no local provider answered."""
+    rolled = A.rollup(attempts).where(~F.col("answered")).select("request_id", "first_error")
+    return requests.select("id", text.request_id(F.col("id")).alias("request_id")).join(rolled, "request_id").select("id", "request_id", "first_error")
+
+
 def route_batch(requests: DataFrame, attempts: DataFrame, exemplars: DataFrame) -> DataFrame:
-    """Log rows of a batch of requests.
+    """Log rows of a batch of requests; those that failed are not logged and never stored.
 
     ``requests``: ``id`` (integer), ``created_at, question, answer, estimated_tokens, embedding,
     latency_ms``. Models are not called: their answers and attempts are input.
     """
-    asked = materialise(requests.withColumn("request_id", text.request_id(F.col("id"))))
+    failed = A.rollup(attempts).where(~F.col("answered")).select("request_id")
+    all_asked = requests.withColumn("request_id", text.request_id(F.col("id")))
+    asked = materialise(all_asked.join(failed.withColumn("failed", F.lit(True)), "request_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False))))
     decisions = materialise(cache.replay(asked.select(
         F.col("id").alias("request_id"), F.col("created_at").alias("asked_at"), "embedding",
-        ((F.length("answer") > 0) & (F.length("question") > 0)).alias("answered"))))
+        ((F.length("answer") > 0) & (F.length("question") > 0) & ~F.col("failed")).alias("answered"))))
     served = cache.replay_answers(
         asked.select(F.col("id").alias("request_id"), F.col("created_at").alias("asked_at"), "embedding"), decisions)
     # one stored answer may serve most hits
@@ -52,6 +60,7 @@ def route_batch(requests: DataFrame, attempts: DataFrame, exemplars: DataFrame)
         .join(graded, "id")
         .join(served_answers, "id", "left")
         .join(rolled, "request_id", "left")
+        .where(hit | ~F.col("failed"))  # a hit makes no call
         .select(
             "id", "created_at", "request_id",
             text.fingerprint(F.col("question")).alias("query_id"),
