@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlens.llm import chat, fingerprint, language, mixing, near_dedup, packing, personal_data, quality, substring_dedup
+from costlens.llm import chat, fingerprint, language, mixing, near_dedup, packing, personal_data, quality, substring_dedup, token_counts
 from costlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,8 @@ def op7_personal_data(spark, folder):
     kinds = F.filter("spans", lambda s: s["base"])["kind"]
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, F.lit(k)))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(personal_data.KINDS)]
     return found.select("doc_id", *counts, F.sha2(personal_data.as_text(base), 256).alias("base_sha256"), personal_data.as_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op3_longest_match_tokens(spark, folder):
+    return token_counts.token_counts(table(spark, folder, "documents"))
