@@ -165,7 +165,8 @@ def candidate_nodes(classes: DataFrame) -> DataFrame:
         large = level.where(F.col("n") > LEAF)
         if large.isEmpty():
             break
-        position = (ROOTS + F.pmod(F.xxhash64("node", F.col("_child")), F.lit(POSITIONS - ROOTS))).cast("int")
+        step = 2 * F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1000)) + 1  # odd: the children of a node have different positions
+        position = (ROOTS + F.pmod(F.pmod(F.xxhash64("node"), F.lit(POSITIONS - ROOTS)) + step * F.col("_child"), F.lit(POSITIONS - ROOTS))).cast("int")
         value = F.expr("substring(sketch, _position * 2 + 1, 2)")
         children = materialise(
             large.join(classes.select("doc", "sketch"), "doc").withColumn("_child", F.explode(F.sequence(F.lit(1), F.lit(CHILDREN))))
