@@ -178,7 +178,7 @@ def candidate_nodes(classes: DataFrame) -> DataFrame:
         dense = materialise(density.select("node", ((F.col("density") >= DENSE) | last).alias("dense")))
         blocks = F.ceil(F.col("n") / (LEAF // 2))
         found.append(_block_pairs(large.join(dense.where("dense"), "node").withColumn("blocks", blocks), "blocks").select("node", "doc"))
-        level = children.join(dense.where("NOT dense"), "node").select("doc", F.col("child").alias("node"))
+        level = materialise(children.join(dense.where("NOT dense"), "node").select("doc", F.col("child").alias("node")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
