@@ -29,11 +29,12 @@ from costlens.session import materialise
 POSITIONS = 128
 ROOTS = 16
 CHILDREN = 2
-LEAF = 1000
+LEAF = 4096  # rows compared exhaustively in one task: 1 MB of sketches
 LEVELS = 5
 DENSE = 0.3
 AGREEING = 70
 BLOCK_SHINGLES = 1_000_000
+BLOCK_SETS = 1000
 _PERMUTE = np.random.default_rng(7).integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -104,13 +105,19 @@ def _similar_sketches(percent: int):
             sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u2").reshape(-1, POSITIONS)
             labels = []
             for start, end in zip(starts[:-1], starts[1:]):
-                own, size = sketches[start:end], sizes[start:end]
-
-                def near(row, own=own, size=size):
-                    fits = 100 * np.minimum(size, size[row]) >= percent * np.maximum(size, size[row])
-                    return fits & ((own == own[row]).sum(axis=1) >= AGREEING)
-
-                labels.append(linked(end - start, near))
+                order = np.argsort(sizes[start:end], kind="stable")
+                own, size = sketches[start:end][order], sizes[start:end][order]
+                first = np.searchsorted(100 * size, percent * size)  # sizes too far apart for a link are not compared
+                after = np.searchsorted(percent * size, 100 * size, side="right")
+
+                def near(row, own=own, first=first, after=after):
+                    mark, fits = np.zeros(len(own), bool), slice(first[row], after[row])
+                    mark[fits] = np.count_nonzero(own[fits] == own[row], axis=1) >= AGREEING
+                    return mark
+
+                label = np.empty(end - start, np.int64)
+                label[order] = linked(end - start, near)
+                labels.append(label)
             yield _edges(docs, labels, starts)
 
     return run
@@ -196,7 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     nodes = candidate_nodes(classes).join(classes.select("doc", "size", "sketch"), "doc")
     clusters = materialise(components(_in_groups(nodes, _similar_sketches(percent))).select(F.col("node").alias("doc"), F.col("component").alias("cluster")))
     sizes = clusters.join(classes.select("doc", "size"), "doc").groupBy("cluster").agg(F.sum("size").alias("shingles"), F.count("*").alias("members"))
-    blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("members") / LEAF))
+    blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("members") / BLOCK_SETS))
     placed = materialise(clusters.join(sizes.select("cluster", blocks.alias("blocks")), "cluster"))
     sets = texts.join(placed, texts["doc_id"] == placed["doc"]).select("cluster", "blocks", "doc", "text").dropDuplicates(["doc"])
     sets = sets.mapInArrow(_sets(width), "cluster long, blocks long, doc long, shingles binary").withColumnRenamed("cluster", "node")

@@ -76,6 +76,7 @@ def test_near_duplicates_on_awkward_rows(awkward, empty):
 
 def test_large_nodes_branch_and_split(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LEAF", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 8)
     rng, rows = np.random.default_rng(5), {}
     base = [f"b{i}" for i in range(60)]
     for i in range(90):
