@@ -26,7 +26,7 @@ LIMIT = 2048
 END_ID = 0
 GRID = 8
 RANK_ROWS = 10_000
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 CACHED_BYTES = 64
 _tokenizers: dict[str, tuple] = {}
 
@@ -35,7 +35,8 @@ class WordTokenizer:
     """A tokenizer that drops white space; ids of whole texts are joined from those of words cut at ASCII white space.
 
     Words are independent: no pre-token holds white space. Ids are kept as little-endian 32-bit bytes.
-    Words not seen lately are encoded many at a time, parted by a special token.
+    Words not seen lately are encoded many at a time, parted by a special token. A full cache keeps the words
+    that came again since it was last full; most words of a corpus are seen once.
     """
 
     def __init__(self, path: str):
@@ -45,6 +46,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.parting, self.parting_id = min((token.content, number) for number, token in self.tokenizer.get_added_tokens_decoder().items())
         self.cache: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,9 +70,13 @@ class WordTokenizer:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         words = [text.split() for text in texts]
         if len(self.cache) > CACHED_WORDS:
-            self.cache = {}
-        cache = self.cache
-        self._learn(list({word for row in words for word in row if word not in cache}))
+            kept = self.again if len(self.again) <= CACHED_WORDS // 2 else ()
+            self.cache = {word: self.cache[word] for word in kept if word in self.cache}
+            self.again = set()
+        cache, distinct = self.cache, set().union(*words)
+        new = distinct.difference(cache)
+        self.again |= distinct - new
+        self._learn(list(new))
         out = [b"".join(map(cache.__getitem__, row)) for row in words]
         for row in words:
             for word in row if max(map(len, row), default=0) > CACHED_BYTES else ():
