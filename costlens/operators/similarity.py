@@ -8,6 +8,8 @@ halfway between pivots i and j. That test loses no pair. A cell with many rows i
 on both sides, each pair of blocks is one task's matrix product, and a block returns one row per
 query at most, so neither a hot cell nor a crowd of copies meets in one task or is spelled out pair
 by pair. Where all entries fit a small broadcast, which is checked, queries are not moved at all.
+Every row of the queries is a query of its own and every row of the entries an entry, whatever their ids:
+rows that are moved carry a number written once.
 
 ``nearest`` finds the k nearest labelled examples of each query. A small example table, which is
 the normal case, is broadcast after its size was checked; a large one is met block by block.
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from costlens import constants as K
 from costlens.functions.vectors import as_doubles
 from costlens.operators.skew import salted_join
+from costlens.session import materialise
 
 BLOCK_ROWS = 8192
 MAX_PIVOTS = 1024
@@ -69,6 +72,11 @@ def _vectors(df: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Add a number of its own for every row, written once so that it stays the same."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def _with_cells(df: DataFrame, pivots: np.ndarray, reach: float | None) -> DataFrame:
     """Add ``_cell``: the home cell, or with ``reach`` one row per cell to visit."""
     if not len(pivots):
@@ -156,9 +164,13 @@ def attach_best(
         if timed:
             q = q.withColumn("at", F.unix_micros("asked_at"))
         return _attach_broadcast(q, e, head, _matcher(threshold, timed), queries.drop("embedding").columns, ["cache_id", *payload])
-    found = similar_entries(queries, entries, threshold, ttl_seconds, block_rows, 0)
-    served = salted_join(found, entries.select("cache_id", *payload), ["cache_id"], "query_id")
-    return queries.drop("embedding").join(served, "query_id", "left")
+    q, e = _numbered(queries, "_row"), _numbered(e, "_entry")
+    asked = _vectors(q.select("_row", "embedding", *([F.unix_micros("asked_at").alias("at")] if timed else [])))
+    stored = e.drop(*payload)
+    found = _alive_blocks(asked, stored, (ttl_seconds or 0) * 1_000_000, _matcher(threshold, True), threshold, block_rows) if timed \
+        else _untimed_blocks(asked, stored, threshold, block_rows)
+    served = salted_join(found.drop("cache_id"), e.select("_entry", "cache_id", *payload), ["_entry"], "_row").drop("_entry")
+    return q.drop("embedding").join(served, "_row", "left").select(*queries.drop("embedding").columns, "cache_id", *payload, "score")
 
 
 def similar_entries(
@@ -182,15 +194,21 @@ def similar_entries(
     head = _small(e, max_broadcast_rows)
     if head is not None:
         return _attach_broadcast(q, e, head, _matcher(threshold), ["query_id"], ["cache_id"]).where("cache_id IS NOT NULL")
-    # copies of an entry are one entry and copies of a question one question
-    e = e.groupBy("embedding", "_dim").agg(F.min("cache_id").alias("cache_id"))
+    q = _numbered(q, "_row")
+    found = _untimed_blocks(q, e.withColumn("_entry", F.lit(0).cast("long")), threshold, block_rows)
+    return q.select("_row", "query_id").join(found, "_row").select("query_id", "cache_id", "score")
+
+
+def _untimed_blocks(q: DataFrame, e: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """``_row, cache_id, _entry, score``: copies of an entry are one entry and copies of a question one question."""
+    e = e.groupBy("embedding", "_dim").agg(F.min(F.struct("cache_id", "_entry")).alias("m")).select("embedding", "_dim", "m.*")
     q = q.withColumn("_vector", _vector_key())
     asked = q.groupBy("_vector").agg(F.first("embedding").alias("embedding"), F.first("_dim").alias("_dim"))
     found = _best_blocks(
-        asked.withColumnRenamed("_vector", "query_id"), e, threshold, _matcher(threshold), ["_dim", "_cell"], block_rows)
+        asked.withColumnRenamed("_vector", "_row"), e, threshold, _matcher(threshold), ["_dim", "_cell"], block_rows)
     return salted_join(
-        q.select("query_id", "_vector"), found.withColumnRenamed("query_id", "_vector"), ["_vector"], "query_id",
-    ).select("query_id", "cache_id", "score")
+        q.select("_row", "_vector"), found.withColumnRenamed("_row", "_vector"), ["_vector"], "_row",
+    ).select("_row", "cache_id", "_entry", "score")
 
 
 def similar_alive(
@@ -208,6 +226,13 @@ def similar_alive(
     head = _small(e, max_broadcast_rows)
     if head is not None:
         return _attach_broadcast(q, e, head, matcher, ["query_id"], ["cache_id"]).where("cache_id IS NOT NULL")
+    q = _numbered(q, "_row")
+    found = _alive_blocks(q, e.withColumn("_entry", F.lit(0).cast("long")), span, matcher, threshold, block_rows)
+    return q.select("_row", "query_id").join(found, "_row").select("query_id", "cache_id", "score")
+
+
+def _alive_blocks(q: DataFrame, e: DataFrame, span: int, matcher, threshold: float, block_rows: int) -> DataFrame:
+    """``_row, cache_id, _entry, score`` of the queries with a match alive at ``at``."""
     now = F.floor(F.col("at") / span)
     return _best_blocks(
         q.withColumn("_bucket", F.explode(F.array(now, now - 1))),
@@ -289,36 +314,37 @@ def _attach_broadcast(q: DataFrame, e: DataFrame, head: pa.Table, match, kept: l
 
 
 def _best_blocks(q: DataFrame, e: DataFrame, threshold: float, match, keys: list[str], block_rows: int) -> DataFrame:
+    """``_row, cache_id, _entry, score``: the best entry of every ``_row`` of the queries that has one."""
     pivots = _pivots(e, block_rows)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     homes = _with_cells(e, pivots, None)
     visits = _with_cells(q, pivots, reach)
-    left, right = _blocks(visits, homes, keys, "query_id", "cache_id", block_rows)
+    left, right = _blocks(visits, homes, keys, "_row", "cache_id", block_rows)
     on = [*keys, "_lb", "_rb"]
 
     def meet(asked: pa.Table, stored: pa.Table) -> pa.Table:
         if asked.num_rows == 0 or stored.num_rows == 0:
             return pa.table({
-                "query_id": asked.column("query_id").slice(0, 0), "cache_id": stored.column("cache_id").slice(0, 0),
-                "score": pa.array([], pa.float64())})
-        stored = stored.sort_by("cache_id")
+                "_row": asked.column("_row").slice(0, 0), "cache_id": stored.column("cache_id").slice(0, 0),
+                "_entry": stored.column("_entry").slice(0, 0), "score": pa.array([], pa.float64())})
+        stored = stored.sort_by([("cache_id", "ascending"), ("_entry", "ascending")])
         directions = _unit(_matrix(stored.column("embedding"), stored.column("_dim")[0].as_py()))
         parts = []
         for start in range(0, asked.num_rows, _CHUNK):
             some = asked.slice(start, _CHUNK)
             rows, best, value = match(some, stored, directions)
             parts.append(pa.table({
-                "query_id": some.column("query_id").take(pa.array(rows)),
-                "cache_id": stored.column("cache_id").take(pa.array(best)), "score": pa.array(value)}))
+                "_row": some.column("_row").take(pa.array(rows)), "cache_id": stored.column("cache_id").take(pa.array(best)),
+                "_entry": stored.column("_entry").take(pa.array(best)), "score": pa.array(value)}))
         return pa.concat_tables(parts)
 
     schema = T.StructType([
-        T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("cache_id", e.schema["cache_id"].dataType),
-        T.StructField("score", T.DoubleType())])
+        T.StructField("_row", q.schema["_row"].dataType), T.StructField("cache_id", e.schema["cache_id"].dataType),
+        T.StructField("_entry", T.LongType()), T.StructField("score", T.DoubleType())])
     per_block = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(meet, schema)
-    rank = F.struct((-F.round("score", SCORE_DIGITS)).alias("s"), F.col("cache_id").alias("c"), F.col("score").alias("x"))
-    return per_block.groupBy("query_id").agg(F.min(rank).alias("m")).select(
-        "query_id", F.col("m.c").alias("cache_id"), F.col("m.x").alias("score"))
+    rank = F.struct((-F.round("score", SCORE_DIGITS)).alias("s"), F.col("cache_id").alias("c"), F.col("_entry").alias("e"), F.col("score").alias("x"))
+    return per_block.groupBy("_row").agg(F.min(rank).alias("m")).select(
+        "_row", F.col("m.c").alias("cache_id"), F.col("m.e").alias("_entry"), F.col("m.x").alias("score"))
 
 
 # ---- k nearest examples ------------------------------------------------------------------
@@ -392,17 +418,17 @@ def _nearest_broadcast(queries: DataFrame, examples: DataFrame, head: pa.Table,
 
 
 def _nearest_blocks(queries: DataFrame, examples: DataFrame, k: int, block_rows: int) -> DataFrame:
+    queries = _numbered(queries, "_row")
     one = F.lit(0).alias("_all")
     left, right = _blocks(
-        queries.select("query_id", "embedding", one), examples.select("*", one),
-        ["_all"], "query_id", "exemplar_id", block_rows)
+        queries.select("_row", "embedding", one), examples.select("*", one),
+        ["_all"], "_row", "exemplar_id", block_rows)
     kind = _neighbour_type(examples)
-    schema = T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("neighbours", kind)])
+    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("neighbours", kind)])
 
     def search(asked: pa.Table, known: pa.Table) -> pa.Table:
         if asked.num_rows == 0 or known.num_rows == 0:
-            return pa.table({"query_id": asked.column("query_id").slice(0, 0),
+            return pa.table({"_row": asked.column("_row").slice(0, 0),
                              "neighbours": pa.array([], _arrow_list(known))})
         known = known.sort_by("exemplar_id")
         width = len(known.column("embedding")[0])
@@ -410,19 +436,19 @@ def _nearest_blocks(queries: DataFrame, examples: DataFrame, k: int, block_rows:
         ids, tiers = known.column("exemplar_id").combine_chunks(), known.column("tier").combine_chunks()
         found = pa.chunked_array([
             _top(asked.column("embedding").slice(start, _CHUNK), unit, ids, tiers, k) for start in range(0, asked.num_rows, _CHUNK)])
-        return pa.table({"query_id": asked.column("query_id"), "neighbours": found})
+        return pa.table({"_row": asked.column("_row"), "neighbours": found})
 
     on = ["_all", "_lb", "_rb"]
     per_block = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(search, schema)
-    best_first = Window.partitionBy("query_id").orderBy(
+    best_first = Window.partitionBy("_row").orderBy(
         F.round("n.similarity", SCORE_DIGITS).desc(), F.col("n.exemplar_id"))
     merged = (
-        per_block.select("query_id", F.explode("neighbours").alias("n"))
+        per_block.select("_row", F.explode("neighbours").alias("n"))
         .withColumn("_rank", F.row_number().over(best_first)).where(F.col("_rank") <= k)
-        .groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("_rank", "n"))).alias("r"))
-        .select("query_id", F.transform("r", lambda x: x["n"]).alias("neighbours"))
+        .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_rank", "n"))).alias("r"))
+        .select("_row", F.transform("r", lambda x: x["n"]).alias("neighbours"))
     )
-    return queries.drop("embedding").join(merged, "query_id", "left")
+    return queries.drop("embedding").join(merged, "_row", "left").drop("_row")
 
 
 def _arrow_list(known: pa.Table) -> pa.DataType:

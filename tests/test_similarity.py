@@ -93,6 +93,45 @@ def test_nearest(spark, limit, block):
         assert got[i] == [j for _, j in sorted((-round(cos(v, e), 12), j) for j, e in enumerate(entries))[:7]]
 
 
+@pytest.mark.parametrize("limit", [20_000, 0])
+@pytest.mark.parametrize("ttl", [None, 600])
+def test_repeated_ids_keep_their_own_matches(spark, limit, ttl):
+    queries, entries = vectors(8, 90), vectors(8, 120)
+    q, e = frames(spark, queries, entries)
+    alive = (lambda i, j: j * 61 <= i * 97 < j * 61 + ttl) if ttl else (lambda i, j: True)
+    expected = brute(queries, entries, 0.9, alive)
+    q = q.withColumn("n", F.col("query_id")).withColumn("query_id", F.when(F.col("n") % 4 > 0, F.col("n") % 4))
+    e = e.withColumn("response", F.col("cache_id").cast("string"))
+    rows = cache.lookup(q, e, 0.9, ttl, 25, limit).collect()
+    assert len(rows) == len(queries)
+    assert {r["n"]: r["cache_id"] for r in rows if r["hit"]} == expected
+    assert all(r["response"] == str(r["cache_id"]) for r in rows if r["hit"])
+    found = similarity.similar_entries(q, e, 0.9, ttl, 25, limit).collect()
+    ids = {i: i % 4 or None for i in expected}
+    assert sorted(map(str, ((r["query_id"], r["cache_id"]) for r in found))) == sorted(str((ids[i], j)) for i, j in expected.items())
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_entries_of_one_id_serve_their_own_answer(spark, limit):
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, embedding array<double>")
+    entries = spark.createDataFrame([(7, [1.0, 0.0], "a"), (7, [0.0, 1.0], "b")], "cache_id long, embedding array<double>, response string")
+    rows = cache.lookup(queries, entries, max_broadcast_rows=limit).collect()
+    assert sorted((r["query_id"], r["response"]) for r in rows) == [(1, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_nearest_with_repeated_ids(spark, limit):
+    queries, entries = vectors(4, 60), [v for v in vectors(5, 80) if len(v) == WIDTH]
+    q, _ = frames(spark, queries, entries)
+    q = q.withColumn("n", F.col("query_id")).withColumn("query_id", F.col("n") % 3)
+    examples = spark.createDataFrame([(i, "simple", v) for i, v in enumerate(entries)], "exemplar_id long, tier string, embedding array<double>")
+    rows = similarity.nearest(q, examples, 5, max_broadcast_rows=limit, block_rows=30).collect()
+    assert len(rows) == len(queries)
+    for row in rows:
+        expected = sorted((-round(cos(queries[row["n"]], e), 12), j) for j, e in enumerate(entries))[:5]
+        assert [n["exemplar_id"] for n in row["neighbours"]] == [j for _, j in expected]
+
+
 def test_answerless_entries_hide_nothing(spark):
     entries = spark.createDataFrame([(1, [1.0, 0.0], ""), (2, [1.0, 0.1], "yes"), (3, [1.0, 0.0], None)], "cache_id long, embedding array<double>, response string")
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "query_id long, embedding array<double>")
