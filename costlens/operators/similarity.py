@@ -12,14 +12,14 @@ Every row of the queries is a query of its own and every row of the entries an e
 rows that are moved carry a number written once.
 
 ``nearest`` finds the k nearest labelled examples of each query. A small example table, which is
-the normal case, is broadcast after its size was checked; a large one is met block by block.
+the normal case, is broadcast after its size was checked; a large one is met block by block. Vectors of
+unlike widths have similarity 0, like those without direction.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from costlens import constants as K
@@ -357,17 +357,25 @@ def _neighbour_type(exemplars: DataFrame) -> T.DataType:
     ]))
 
 
-def _top(asked: pa.Array | pa.ChunkedArray, unit: np.ndarray, ids: pa.Array, tiers: pa.Array, k: int) -> pa.Array:
+def _by_width(examples: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The places and unit vectors of the examples of each width."""
+    examples = examples.combine_chunks()
+    widths = np.asarray(examples.value_lengths().fill_null(0))
+    places = [(int(width), np.flatnonzero(widths == width)) for width in np.unique(widths) if width > 0]
+    return [(place, _unit(_matrix(examples.take(pa.array(place)), width))) for width, place in places]
+
+
+def _top(asked: pa.Array | pa.ChunkedArray, known: list[tuple[np.ndarray, np.ndarray]], ids: pa.Array, tiers: pa.Array, k: int) -> pa.Array:
     """Per query the k best examples as a list column; examples arrive in id order."""
     if isinstance(asked, pa.ChunkedArray):
         asked = asked.combine_chunks()
-    width = unit.shape[1]
     widths = np.asarray(asked.value_lengths().fill_null(-1))
-    score = np.zeros((len(asked), len(unit)))
-    fits = np.flatnonzero(widths == width)
-    if len(fits):
-        score[fits] = _unit(_matrix(asked.take(pa.array(fits)), width)) @ unit.T
-    keep = min(k, len(unit))
+    score = np.zeros((len(asked), len(ids)))
+    for places, unit in known:
+        fits = np.flatnonzero(widths == unit.shape[1])
+        if len(fits):
+            score[np.ix_(fits, places)] = _unit(_matrix(asked.take(pa.array(fits)), unit.shape[1])) @ unit.T
+    keep = min(k, len(ids))
     rounded = np.round(score, SCORE_DIGITS)
     picked = np.argsort(-rounded, axis=1, kind="stable")[:, :keep]
     flat = pa.array(picked.ravel())
@@ -391,26 +399,24 @@ def nearest(
     head = _small(examples, max_broadcast_rows)
     if head is not None and not head.num_rows:
         return queries.drop("embedding").withColumn("neighbours", F.array().cast(_neighbour_type(examples)))
-    if head is not None and pc.count_distinct(pc.list_value_length(head.column("embedding"))).as_py() == 1:
+    if head is not None:
         return _nearest_broadcast(queries, examples, head.sort_by("exemplar_id"), k)
     found = _nearest_blocks(queries, examples, k, block_rows)
     return found.withColumn("neighbours", F.coalesce("neighbours", F.array().cast(_neighbour_type(examples))))
 
 
 def _nearest_broadcast(queries: DataFrame, examples: DataFrame, head: pa.Table, k: int) -> DataFrame:
-    width = len(head.column("embedding")[0])
-    unit = _unit(_matrix(head.column("embedding"), width))
     shared = queries.sparkSession.sparkContext.broadcast(
-        (unit, head.column("exemplar_id").combine_chunks(), head.column("tier").combine_chunks()))
+        (_by_width(head.column("embedding")), head.column("exemplar_id").combine_chunks(), head.column("tier").combine_chunks()))
     kept = [f for f in queries.schema.fields if f.name != "embedding"]
     schema = T.StructType([*kept, T.StructField("neighbours", _neighbour_type(examples))])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, ids, tiers = shared.value
+        vectors, ids, tiers = shared.value
         for batch in batches:
             asked = batch.column("embedding")
             found = pa.concat_arrays([
-                _top(asked.slice(start, _CHUNK), matrix, ids, tiers, k) for start in range(0, len(asked), _CHUNK)])
+                _top(asked.slice(start, _CHUNK), vectors, ids, tiers, k) for start in range(0, len(asked), _CHUNK)])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(f.name) for f in kept], found], names=[*[f.name for f in kept], "neighbours"])
 
@@ -431,11 +437,10 @@ def _nearest_blocks(queries: DataFrame, examples: DataFrame, k: int, block_rows:
             return pa.table({"_row": asked.column("_row").slice(0, 0),
                              "neighbours": pa.array([], _arrow_list(known))})
         known = known.sort_by("exemplar_id")
-        width = len(known.column("embedding")[0])
-        unit = _unit(_matrix(known.column("embedding"), width))
+        vectors = _by_width(known.column("embedding"))
         ids, tiers = known.column("exemplar_id").combine_chunks(), known.column("tier").combine_chunks()
         found = pa.chunked_array([
-            _top(asked.column("embedding").slice(start, _CHUNK), unit, ids, tiers, k) for start in range(0, asked.num_rows, _CHUNK)])
+            _top(asked.column("embedding").slice(start, _CHUNK), vectors, ids, tiers, k) for start in range(0, asked.num_rows, _CHUNK)])
         return pa.table({"_row": asked.column("_row"), "neighbours": found})
 
     on = ["_all", "_lb", "_rb"]

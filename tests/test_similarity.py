@@ -132,6 +132,18 @@ def test_nearest_with_repeated_ids(spark, limit):
         assert [n["exemplar_id"] for n in row["neighbours"]] == [j for _, j in expected]
 
 
+@pytest.mark.parametrize("limit,block", [(20_000, 2048), (0, 2048), (0, 20)])
+def test_nearest_with_two_widths(spark, limit, block):
+    rng = np.random.default_rng(9)
+    entries = [rng.normal(size=8 if i % 3 else 16).tolist() for i in range(60)]  # flattened, a multiple of both widths
+    queries = [rng.normal(size=(8, 16, 5)[i % 3]).tolist() for i in range(30)]
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id long, embedding array<double>")
+    examples = spark.createDataFrame([(i, "simple", v) for i, v in enumerate(entries)], "exemplar_id long, tier string, embedding array<double>")
+    for row in similarity.nearest(q, examples, 5, max_broadcast_rows=limit, block_rows=block).collect():
+        expected = sorted((-round(cos(queries[row["query_id"]], e), 12), j) for j, e in enumerate(entries))[:5]
+        assert [n["exemplar_id"] for n in row["neighbours"]] == [j for _, j in expected]
+
+
 def test_answerless_entries_hide_nothing(spark):
     entries = spark.createDataFrame([(1, [1.0, 0.0], ""), (2, [1.0, 0.1], "yes"), (3, [1.0, 0.0], None)], "cache_id long, embedding array<double>, response string")
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "query_id long, embedding array<double>")
