@@ -7,15 +7,17 @@ members branches again at positions of its own choice, unless its members resemb
 branching cannot part them, and the node is compared in pairs of blocks). The trees repeat independently.
 Pairs whose sketches agree often enough join a candidate cluster; inside a cluster, full sets decide.
 
-With the default parameters a pair at the threshold shares no root node with probability 0.25 ** 16. Below
-large nodes it survives a tree with probability over 0.66 at any depth, so it is lost in all 16 trees with
-probability under 1e-7. It is refused by its sketches (70 of 128 positions; 96 are expected) with probability under 1e-6.
+The number of trees and of positions that must agree follow from the threshold: with positions taken as
+independent, a pair at the threshold is lost in all trees, to their last level, with probability of at most
+TREE_LOSS, and refused by its sketches with at most GATE_LOSS. At 75 percent these are 16 trees and 70 of 128
+positions (96 are expected). A threshold that would need more than MOST_ROOTS trees (below 48 percent) is refused.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Rows without doc_id
 link with nothing, have a null component and are kept. Repeated rows get the same component. Other columns
 are ignored by ``near_duplicates`` and returned by ``keep_one``.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +29,43 @@ from costlens.llm.common import byte_values, components, linked, mixed, whole_gr
 from costlens.session import materialise
 
 POSITIONS = 128
-ROOTS = 16
+MOST_ROOTS = 80
+TREE_LOSS = 5e-8
+GATE_LOSS = 2e-7
 CHILDREN = 2
 LEAF = 4096  # rows compared exhaustively in one task: 1 MB of sketches
 LEVELS = 5
 DENSE = 0.3
-AGREEING = 70
 BLOCK_SHINGLES = 1_000_000
 BLOCK_SETS = 1000
 _PERMUTE = np.random.default_rng(7).integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def agreeing(percent: int) -> int:
+    """How many positions must agree, so that a pair at the threshold is refused with at most GATE_LOSS."""
+    p, below = percent / 100, 0.0
+    for least in range(POSITIONS + 1):
+        below += math.comb(POSITIONS, least) * p**least * (1 - p)**(POSITIONS - least)
+        if below > GATE_LOSS:
+            return least
+    return POSITIONS
+
+
+def tree_count(percent: int) -> int:
+    """How many trees lose a pair at the threshold in all of them with at most TREE_LOSS."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    p, found = percent / 100, 1.0
+    for _ in range(LEVELS - 1):
+        found = 1 - (1 - p * found) ** CHILDREN
+    trees = 1
+    while (1 - p * found) ** trees > TREE_LOSS:
+        trees += 1
+        if trees > MOST_ROOTS:
+            raise ValueError(f"{percent} percent is too low: pairs at the threshold would be lost")
+    return trees + trees % 2  # even, as the positions left for children must be
+
+
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text; A-Z are lower-cased, words end at ASCII white space."""
     hashes = word_hashes((text or b"").lower().split())
@@ -54,7 +82,7 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return mixed(least)
 
 
-def _sketches(width: int):
+def _sketches(width: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, one, two, sketches, roots = [], [], [], [], []
@@ -66,10 +94,10 @@ def _sketches(width: int):
                 two.append((digest & (2**64 - 1)) - 2**63)
                 values = minwise(found)
                 sketches.append((values & np.uint64(0xFFFF)).astype("<u2").tobytes())
-                roots.append(mixed(values[:ROOTS] + np.arange(ROOTS, dtype=np.uint64)).view(np.int64))
+                roots.append(mixed(values[:trees] + np.arange(trees, dtype=np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, ROOTS * len(sizes) + 1, ROOTS), pa.int32()), pa.array(np.concatenate(roots) if roots else [], pa.int64())),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, trees * len(sizes) + 1, trees), pa.int32()), pa.array(np.concatenate(roots) if roots else [], pa.int64())),
             ], ["doc_id", "size", "key1", "key2", "sketch", "roots"])
 
     return run
@@ -99,6 +127,8 @@ def _edges(docs: np.ndarray, labels: list[np.ndarray], starts: np.ndarray) -> pa
 
 
 def _similar_sketches(percent: int):
+    needed = agreeing(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, "node"):
             docs, sizes = table["doc"].to_numpy(), table["size"].to_numpy()
@@ -112,7 +142,7 @@ def _similar_sketches(percent: int):
 
                 def near(row, own=own, first=first, after=after):
                     mark, fits = np.zeros(len(own), bool), slice(first[row], after[row])
-                    mark[fits] = np.count_nonzero(own[fits] == own[row], axis=1) >= AGREEING
+                    mark[fits] = np.count_nonzero(own[fits] == own[row], axis=1) >= needed
                     return mark
 
                 label = np.empty(end - start, np.int64)
@@ -160,7 +190,7 @@ def _block_pairs(frame: DataFrame, blocks: str) -> DataFrame:
     )
 
 
-def candidate_nodes(classes: DataFrame) -> DataFrame:
+def candidate_nodes(classes: DataFrame, trees: int) -> DataFrame:
     """(node, doc) of the nodes to be compared exhaustively."""
     level, found = classes.select("doc", F.explode("roots").alias("node")), []
     for depth in range(LEVELS):
@@ -173,7 +203,7 @@ def candidate_nodes(classes: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         step = 2 * F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1000)) + 1  # odd: the children of a node have different positions
-        position = (ROOTS + F.pmod(F.pmod(F.xxhash64("node"), F.lit(POSITIONS - ROOTS)) + step * F.col("_child"), F.lit(POSITIONS - ROOTS))).cast("int")
+        position = (trees + F.pmod(F.pmod(F.xxhash64("node"), F.lit(POSITIONS - trees)) + step * F.col("_child"), F.lit(POSITIONS - trees))).cast("int")
         value = F.expr("substring(sketch, _position * 2 + 1, 2)")
         children = materialise(
             large.join(classes.select("doc", "sketch"), "doc").withColumn("_child", F.explode(F.sequence(F.lit(1), F.lit(CHILDREN))))
@@ -194,13 +224,14 @@ def candidate_nodes(classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; see the module's text."""
+    trees = tree_count(percent)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = materialise(texts.mapInArrow(_sketches(width), "doc_id long, size long, key1 long, key2 long, sketch binary, roots array<long>"))
+    sketched = materialise(texts.mapInArrow(_sketches(width, trees), "doc_id long, size long, key1 long, key2 long, sketch binary, roots array<long>"))
     keys = materialise(sketched.where("size > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("doc")).where("doc IS NOT NULL"))
     classes = sketched.join(keys, ["key1", "key2"]).where("doc_id = doc").select("doc", "size", "sketch", "roots").dropDuplicates(["doc"])
     classes = materialise(classes)
 
-    nodes = candidate_nodes(classes).join(classes.select("doc", "size", "sketch"), "doc")
+    nodes = candidate_nodes(classes, trees).join(classes.select("doc", "size", "sketch"), "doc")
     clusters = materialise(components(_in_groups(nodes, _similar_sketches(percent))).select(F.col("node").alias("doc"), F.col("component").alias("cluster")))
     sizes = clusters.join(classes.select("doc", "size"), "doc").groupBy("cluster").agg(F.sum("size").alias("shingles"), F.count("*").alias("members"))
     blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("members") / BLOCK_SETS))

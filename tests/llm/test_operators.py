@@ -86,6 +86,19 @@ def test_large_nodes_branch_and_split(spark, monkeypatch):
     assert {i: (row["n_shingles"], row["component_id"]) for i, row in found.items()} == brute_components(rows)
 
 
+def test_pairs_at_other_thresholds(spark):
+    assert (near_dedup.tree_count(75), near_dedup.agreeing(75)) == (16, 70)
+    rows = {}
+    for i in range(30):  # 8 of 16 shingles in common
+        common_words = [f"c{i}_{k}" for k in range(12)]
+        rows[2 * i], rows[2 * i + 1] = (" ".join(common_words + [f"{side}{i}_{k}" for k in range(4)]) for side in "ab")
+    found = by_id(near_dedup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), percent=50))
+    assert {i: row["component_id"] for i, row in found.items()} == {i: i - i % 2 for i in rows}
+    for percent in (0, 40, 101):
+        with pytest.raises(ValueError):
+            near_dedup.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=percent)
+
+
 def test_linked_equals_all_pairs():
     rng = np.random.default_rng(2)
     for size in (1, 2, 7, 40):
