@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlens.llm import chat, fingerprint, language, mixing, near_dedup, packing, personal_data, quality, substring_dedup, token_counts
+from costlens.llm import chat, fingerprint, language, merkle, mixing, near_dedup, packing, personal_data, quality, substring_dedup, token_counts
 from costlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,59 @@ def op7_personal_data(spark, folder):
 @query
 def op3_longest_match_tokens(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [lower if name == "text" else F.col(name) for name in merkle.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_digest(fields))
+    found = merkle.manifest(docs, {"tampered": tampered})
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({field}) || ':' || {field}, '-')" for field in fields) + ")"
+
+
+def _up_sql(name: str, start: str) -> str:
+    """Recursive roll-up of (g, level, i, digest, n), and the siblings of every node."""
+    return f"""
+{name} AS (
+  {start}
+  UNION ALL SELECT g, level + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), (n + 15) // 16 FROM {name} WHERE n > 1 GROUP BY g, level, i // 16, n),
+{name}_sides AS (
+  SELECT g, level, i, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM {name} WHERE n > 1 WINDOW w AS (PARTITION BY g, level, i // 16 ORDER BY i))"""
+
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, {_leaf_sql("text")} AS leaf,
+    {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other,
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten([[(ascii(c) >> b) & 1 FOR b IN range(8)] FOR c IN string_split(doc_id::VARCHAR, '')])),
+      lambda x, y: xor(x >> 1, CASE WHEN (x & 1) <> y THEN 3988292384 ELSE 0 END))) % 5 = 0 AS tampered
+  FROM documents),
+places AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+{_up_sql("docs_up", "SELECT g, 0 AS level, i, leaf AS digest, n FROM places")},
+subroots AS (SELECT g, digest FROM docs_up WHERE n = 1),
+{_up_sql("roots_up", "SELECT 0 AS g, 0 AS level, g AS i, digest, (SELECT count(*) FROM subroots) AS n FROM subroots")},
+steps AS (
+  SELECT p.g, p.i, s.level AS place, lft, rgt FROM places p JOIN docs_up_sides s ON s.g = p.g AND s.i = p.i >> (4 * s.level)
+  UNION ALL SELECT p.g, p.i, 100 + s.level, lft, rgt FROM places p JOIN roots_up_sides s ON s.i = p.g >> (4 * s.level)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY place) AS k FROM steps),
+fold AS (
+  SELECT g, i, 0 AS k, CASE WHEN tampered THEN other ELSE leaf END AS digest FROM places
+  UNION ALL SELECT f.g, f.i, f.k + 1, sha256(lft || f.digest || rgt) FROM fold f JOIN numbered s ON s.g = f.g AND s.i = f.i AND s.k = f.k + 1),
+proofs AS (SELECT g, i, string_agg(lft || rgt, '' ORDER BY k) AS proof FROM numbered GROUP BY g, i),
+ends AS (SELECT g, i, arg_max(digest, k) AS folded_root FROM fold GROUP BY g, i),
+root AS (SELECT digest AS root FROM roots_up WHERE n = 1)
+SELECT doc_id, leaf, s.digest AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM places p JOIN ends e ON e.g = p.g AND e.i = p.i JOIN subroots s ON s.g = p.g LEFT JOIN proofs f ON f.g = p.g AND f.i = p.i, root
+"""
