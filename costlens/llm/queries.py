@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlens.llm import chat, fingerprint, language, merkle, mixing, near_dedup, packing, personal_data, quality, substring_dedup, token_counts
+from costlens.llm import chat, fingerprint, language, merkle, mixing, near_dedup, packing, personal_data, quality, substring_dedup, token_counts, whitening
 from costlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,8 @@ root AS (SELECT digest AS root FROM roots_up WHERE n = 1)
 SELECT doc_id, leaf, s.digest AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM places p JOIN ends e ON e.g = p.g AND e.i = p.i JOIN subroots s ON s.g = p.g LEFT JOIN proofs f ON f.g = p.g AND f.i = p.i, root
 """
+
+
+@query
+def op13_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
