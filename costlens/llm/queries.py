@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlens.llm import chat, fingerprint, language, merkle, mixing, near_dedup, packing, personal_data, quality, substring_dedup, token_counts, whitening
+from costlens.llm import chat, fingerprint, language, merkle, mixing, near_dedup, packing, personal_data, quality, substring_dedup, token_counts, topk_search, whitening
 from costlens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,21 @@ FROM places p JOIN ends e ON e.g = p.g AND e.i = p.i JOIN subroots s ON s.g = p.
 @query
 def op13_whitening(spark, folder):
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_exact_topk(spark, folder):
+    return topk_search.search(table(spark, folder, "embeddings"))
+
+
+ORACLES["op12_exact_topk"] = """
+WITH usable AS (
+  SELECT rowid_ AS r, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM (SELECT *, row_number() OVER () AS rowid_ FROM embeddings)
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scores AS (
+  SELECT q.r, q.vec_id AS query_id, d.vec_id, list_sum([q.x[i] * d.x[i] FOR i IN range(1, len(q.x) + 1)])::BIGINT AS score
+  FROM usable q JOIN usable d ON q.r <> d.r AND len(q.x) = len(d.x) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+"""
