@@ -113,9 +113,9 @@ def paths(trees: list[DataFrame], above: DataFrame) -> DataFrame:
 def manifest(docs: DataFrame, carried: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, leaf, subroot, root, path (array of left, right: digests of the siblings on both sides), and the ``carried``."""
     carried = carried or {}
-    leaves = docs.select(
+    leaves = materialise(docs.select(
         F.col("source").alias("group"), leaf_digest([F.col(name) for name in FIELDS]).alias("digest"),
-        F.struct(F.col("doc_id").alias("doc_id"), *[column.alias(name) for name, column in carried.items()]).alias("payload"))
+        F.struct(F.col("doc_id").alias("doc_id"), *[column.alias(name) for name, column in carried.items()]).alias("payload")))  # the cut points of the ranges are sampled from the digests, not from the texts
     trees = tiers(ranked(leaves, [F.col("payload.doc_id").asc_nulls_first(), F.col("digest")]).withColumn(
         "payload", F.col("payload").withField("digest", F.col("digest"))))
     subroots = trees[-1].select(
