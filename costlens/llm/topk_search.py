@@ -282,13 +282,13 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best rows for each row whose vec_id is divisible by ``every``."""
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding")).alias("x"))
-    total = rows.count()
     sample: dict[int, list] = {}
     for row in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect():
         sample.setdefault(len(row.x), []).append(np.array(row.x, float))
     pivots = {width: np.stack([p / max(np.linalg.norm(p), 1e-300) for p in found]) for width, found in sample.items()}
     order = ["width", "near", "vec_id"]
-    near = rows.mapInArrow(_near_pivots(pivots), "vec_id long, x array<long>, width int, near int")
+    near = materialise(rows.mapInArrow(_near_pivots(pivots), "vec_id long, x array<long>, width int, near int"))
+    total = near.count()
     shards = materialise(near.repartitionByRange(max(1, -(-total // shard_rows)), *order).sortWithinPartitions(*order).mapInArrow(_cut(shard_rows, block), _SHARD))
 
     at_home = materialise(shards.mapInArrow(_at_home(k, every), f"width int, {_QUERY}, found array<struct<vec_id:long,score:long>>"))
