@@ -2,15 +2,20 @@
 
 Every source has a target of words. Among all ways to repeat or thin its documents so that the words meet
 the target, entropy balancing takes the one closest to taking each document once: document d of n words
-has rate min(most, exp(lambda * n / mean)). Lambda solves the convex dual of the source's word constraint;
-all sources take their safeguarded Newton steps together, each step one aggregation over counts of
-(source, size). Rates become whole copies by a hash of doc_id: the whole part, and one more for the first
-documents in a pseudo-random order that favours large remainders, up to the one that comes closest to the
-target; further passes correct what is left with ever smaller documents.
+has rate min(most, exp(lambda * n / mean)). Lambda solves the convex dual of the source's word constraint: two
+passes evaluate the dual's slope at GRID values of lambda each, which bracket the root whatever its size, and
+Newton steps inside the bracket end it. Each pass is one aggregation over counts of (source, size), for all sources together.
+
+Rates become whole copies by a hash of the document: the whole part, and one more for the first documents in a
+pseudo-random order that favours large remainders. Documents are taken in classes of size (by powers of two), large
+ones first; a class is cut where its extra copies come closest to the words it should add, and what is missing or too
+much goes on to the next smaller class. Cuts are found on sums over BINS bins of the order in each class, at most 64 times
+BINS numbers for each source.
 
 Sources are in code point order, null last. Null texts have size 0 and are taken with no words. Without
-any words all targets are 0. Repeated rows are documents of their own and share the order of their doc_id.
-Other columns are returned by ``copies`` and ignored by ``mix``.
+any words all targets are 0. The order of a document follows from doc_id, source and text: equal rows, and rows without
+doc_id that are otherwise equal, get the same number of copies. Other columns are returned by ``copies``, whatever their names, and
+ignored by ``mix``.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,9 +25,11 @@ from costlens.session import materialise
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-BINS = 65536
-STEPS = 60
-PASSES = 4
+BINS = 4096
+GRID = 48
+FAR = 2.0**30  # no lambda lies beyond
+NEWTON = 4
+FEW_SOURCES = 10_000  # rows of at most 64 cuts each that may be broadcast; more are joined by shuffle
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -41,101 +48,144 @@ def numbered(frame: DataFrame, order: Column) -> DataFrame:
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size, docs, target: shares by weight, at most ``most`` times a source, the excess shared anew."""
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    """source, source_size, docs, target: shares by weight, at most ``most`` times a source, the excess shared anew.
+
+    With sources in the order of cap / weight, the first ones are capped: the level of the others, words left over
+    weight left, must reach the ratio of the last capped one. Sources are few beside documents, one row each.
+    """
+    sums = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
-    sources = materialise(numbered(sums, F.col("source").asc_nulls_last()).withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).drop("number"))
-    level = 0.0
-    while True:
-        capped = F.col("cap") <= F.lit(level) * F.col("weight")
-        row = sources.agg(F.sum("source_size") * share, F.sum(F.when(capped, F.col("cap")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("weight")))).first()
-        new = (row[0] - row[1]) / row[2] if row[2] else level
-        if new <= level:
-            break
-        level = new
-    return sources.select("source", "source_size", "docs", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
-
-
-def tilts(sized: DataFrame, sources: DataFrame, most: float = MOST) -> DataFrame:
-    """``sources`` with mean and lambda."""
+    sources = numbered(sums, F.col("source").asc_nulls_last()).withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).drop("number")
+    by_ratio = sources.groupBy((F.col("cap") / F.col("weight")).alias("ratio")).agg(F.sum("cap").alias("caps"), F.sum("weight").alias("weights"))
+    whole = by_ratio.agg(F.sum("caps") / most * share, F.sum("weights")).first()
+    so_far = Window.orderBy("ratio").rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct ratio of the sources
+    capped = by_ratio.select("ratio", F.sum("caps").over(so_far).alias("caps"), F.sum("weights").over(so_far).alias("weights"))
+    # capped up to a ratio: the level of the rest is at least that ratio
+    rest = F.lit(whole[1] or 0.0) - F.col("weights")
+    valid = capped.where(F.lit(whole[0] or 0.0) - F.col("caps") >= F.col("ratio") * rest)
+    last = valid.orderBy(F.desc("ratio")).first()
+    words, left, below = (whole[0] or 0.0, whole[1] or 0.0, -1.0) if last is None else (whole[0] - last.caps, whole[1] - last.weights, last.ratio)
+    level = words / left if left > 1e-9 else 0.0
+    is_capped = F.col("cap") / F.col("weight") <= F.lit(below)
+    return sources.select("source", "source_size", "docs", F.when(is_capped, F.col("cap")).otherwise(F.least("cap", F.lit(level) * F.col("weight"))).alias("target"))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def tilts(rows: DataFrame, sources: DataFrame, most: float = MOST) -> DataFrame:
+    """``sources`` with mean and lambda, and ``full`` or ``none`` where all documents or none have their fill."""
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
-    counts = materialise(sized.where("size > 0").groupBy("source", "size").count())
-    ratio = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
-    state = sources.where("source_size > 0").select(
-        "source", "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.log(F.greatest(ratio, F.lit(1e-9))).alias("lambda"),
-        F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), full.alias("done"))
-    state = materialise(state)
-    for _ in range(STEPS):
-        if state.where("NOT done").isEmpty():
-            break
-        z = F.col("size") / F.col("mean")
+    counts = materialise(rows.where("size > 0").groupBy("source", "size").count())
+    few = sources.count() <= FEW_SOURCES
+    kept = ["mean", "target", "low", "high"]
+
+    def sums(state: DataFrame, points: Column) -> DataFrame:
+        """state's rows with ``at``: lambda, what the words miss there, and the slope, for every point."""
+        asked = state.select(F.col("source").alias("_source"), *kept, points.alias("points"))
+        joined = counts.join(F.broadcast(asked) if few else asked, _same("source", "_source")).drop("_source")
+        joined = joined.withColumn("lambda", F.explode("points")).drop("points")
+        z, words = F.col("size") / F.col("mean"), F.col("count") * F.col("size")
         rate = F.exp(F.least(F.col("lambda") * z, F.lit(50.0)))
-        words = F.col("count") * F.col("size")
-        open_ones = state.where("NOT done").withColumnRenamed("source", "_source")
-        sums = counts.join(open_ones, F.col("source").eqNullSafe(F.col("_source"))).select(
-            "_source", (words * F.least(F.lit(most), rate)).alias("taken"), F.when(rate < most, words * z * rate).otherwise(0.0).alias("slope")
-        ).groupBy("_source").agg(F.sum("taken").alias("taken"), F.sum("slope").alias("slope"))
-        joined = state.join(sums, F.col("source").eqNullSafe(F.col("_source")), "left")
-        miss = F.col("taken") - F.col("target")
-        low, high = F.when(miss < 0, F.col("lambda")).otherwise(F.col("low")), F.when(miss > 0, F.col("lambda")).otherwise(F.col("high"))
-        newton = F.col("lambda") - miss / F.when(F.col("slope") > 0, F.col("slope"))
-        middle = F.when((low > -1e6) & (high < 1e6), (low + high) / 2).otherwise(F.when(miss < 0, F.abs("lambda") * 2 + 1).otherwise(-F.abs("lambda") * 2 - 1))
-        step = F.when(newton.isNotNull() & (newton > low) & (newton < high) & (F.abs(newton - F.col("lambda")) < 20 * (1 + F.abs("lambda"))), newton).otherwise(middle)
-        met = F.coalesce(F.abs(miss) <= 1e-9 * F.col("target"), F.lit(True))
-        state = materialise(joined.select(
-            "source", "target", "mean", F.when(F.col("done") | met, F.col("lambda")).otherwise(step).alias("lambda"),
-            F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"), F.when(F.col("done"), F.col("high")).otherwise(high).alias("high"), (F.col("done") | met).alias("done")))
+        found = joined.groupBy("source", "lambda").agg(
+            *[F.first(name).alias(name) for name in kept], (F.sum(words * F.least(F.lit(most), rate)) - F.first("target")).alias("miss"),
+            F.sum(F.when(rate < most, words * z * rate).otherwise(0.0)).alias("slope"))
+        return found.groupBy("source").agg(
+            *[F.first(name).alias(name) for name in kept], F.array_sort(F.collect_list(F.struct("lambda", "miss", "slope"))).alias("at"))  # at most GRID
+
+    def bracketed(state: DataFrame) -> DataFrame:
+        below, above = F.filter("at", lambda p: p["miss"] <= 0), F.filter("at", lambda p: p["miss"] > 0)
+        inside = state.withColumn("low", F.coalesce(F.get(below, F.size(below) - 1)["lambda"], F.col("low")))
+        inside = inside.withColumn("high", F.coalesce(F.get(above, F.lit(0))["lambda"], F.col("high")))
+        nearest = F.transform("at", lambda p: F.struct(F.abs(p["miss"]).alias("by"), p["lambda"].alias("lambda"), p["miss"].alias("miss"), p["slope"].alias("slope")))
+        nearest = F.get(F.array_sort(nearest), F.lit(0))
+        newton = nearest["lambda"] - nearest["miss"] / F.when(nearest["slope"] > 0, nearest["slope"])
+        middle = F.when(nearest["miss"] == 0, nearest["lambda"]).otherwise((F.col("low") + F.col("high")) / 2)
+        return inside.withColumn("lambda", F.when(newton.between(F.col("low"), F.col("high")), newton).otherwise(middle)).drop("at")
+
+    more = F.col("target") >= F.col("source_size")
+    state = sources.where(~full & (F.col("source_size") > 0) & (F.col("target") > 0)).select(
+        "source", "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.when(more, 0.0).otherwise(-FAR).alias("low"), F.when(more, FAR).otherwise(0.0).alias("high"))
+    powers = F.array(F.lit(0.0), *[F.lit(FAR * 2.0**-i) for i in range(GRID - 1)])
+    state = bracketed(sums(state, F.transform(powers, lambda p: F.when(F.col("high") > 0, p).otherwise(-p))))
+    even = F.array(*[F.lit(i / (GRID - 1)) for i in range(GRID)])
+    state = bracketed(sums(state, F.transform(even, lambda p: F.col("low") + p * (F.col("high") - F.col("low")))))
+    for _ in range(NEWTON):
+        state = bracketed(sums(state, F.array("lambda")))
     tilt = state.select(F.col("source").alias("_source"), "mean", "lambda")
-    return sources.join(tilt, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("full", full)
+    return sources.join(tilt, _same("source", "_source"), "left").drop("_source").withColumn("full", full).withColumn("none", F.col("target") <= 0)
 
 
-def _pass(rows: DataFrame) -> DataFrame:
-    """Changes ``copies`` of some documents by one so that the words of each source come closer to the target.
+def sized(docs: DataFrame, *others: Column) -> DataFrame:
+    """doc_id, source, size, chance: what the mix needs of a document; chance is a hash in (0, 1)."""
+    key = F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long"), "source", "text")
+    chance = (F.shiftrightunsigned(key, 11) + 0.5) / 2.0**53
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), chance.alias("chance"), *others)
 
-    Candidates stand in the order of ``rank``; the first of them are changed, up to the best place. Places are
-    found by sums of bins; only the bin with the best place is looked at row by row.
-    """
-    sums = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss")).withColumnRenamed("source", "_source")
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    fits = F.col("size").between(1, 2 * F.abs("miss"))
-    more = (F.col("miss") > 0) & (F.col("part") > 0) & (F.col("copies") == F.col("whole")) & fits
-    less = (F.col("miss") < 0) & (F.col("copies") > F.col("whole")) & fits
-    rows = rows.withColumn("_can", more | less).withColumn("_rank", F.when(F.col("miss") > 0, F.col("rank")).otherwise(1 - F.col("rank")))
-    rows = rows.withColumn("_bin", F.floor(F.col("_rank") * BINS))
-    along = Window.partitionBy("source").orderBy("_bin")
-    bins = rows.where("_can").groupBy("source", "_bin").agg(F.sum("size").alias("_sum"), F.first(F.abs("miss")).alias("_want"))
-    bins = bins.withColumn("_before", F.sum("_sum").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum"))
-    place = bins.where("_before <= _want AND _before + _sum > _want").select(F.col("source").alias("_source"), F.col("_bin").alias("_last"), "_before")
-    rows = rows.join(place, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    inside = F.col("_can") & (F.col("_bin") == F.col("_last"))
-    near = Window.partitionBy("source", "_bin").orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    row_wise = rows.where(inside).withColumn("_to", F.col("_before") + F.sum("size").over(near)).withColumn("_flip", F.col("_to") - F.col("size") / 2 <= F.abs("miss"))
-    others = rows.where(F.coalesce(~inside, F.lit(True))).withColumn("_to", F.lit(0)).withColumn(
-        "_flip", F.col("_can") & F.coalesce(F.col("_bin") < F.col("_last"), F.lit(True)))
-    change = F.when(F.col("_flip"), F.signum("miss").cast("long")).otherwise(F.lit(0))
-    both = row_wise.unionByName(others)
-    return both.withColumn("copies", F.col("copies") + change).drop("miss", "_can", "_rank", "_bin", "_last", "_before", "_to", "_flip")
+
+def _rates(rows: DataFrame, sources: DataFrame, most: float) -> DataFrame:
+    """``rows`` with the columns of their source, rate, whole copies, the class of size and the bin of the order."""
+    tilt = F.exp(F.least(F.col("lambda") * F.col("size") / F.col("mean"), F.lit(50.0)))
+    rate = F.when(F.col("size") == 0, 1.0).when(F.col("full"), most).when(F.col("none"), 0.0).otherwise(F.least(F.lit(most), tilt))
+    own = sources.withColumnRenamed("source", "_source")
+    own = F.broadcast(own) if sources.count() <= FEW_SOURCES else own
+    joined = rows.join(own, _same("source", "_source")).drop("_source").withColumn("rate", rate).withColumn("whole", F.floor("rate"))
+    part = F.col("rate") - F.col("whole")
+    order = F.col("chance") / part
+    can = (part > 0) & (F.col("size") > 0) & (F.col("whole") + 1 <= most)
+    return joined.withColumn("class", F.when(can, F.floor(F.log2("size")).cast("int"))).withColumn("bin", F.when(can, F.floor(order / (1 + order) * BINS).cast("int")))
+
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """source, cuts: for every class of size the bins below which documents get one more copy."""
+    bins = rows.groupBy("source", "class", "bin").agg(
+        F.first("target").alias("target"), F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("base"),
+        F.sum(F.when(F.col("bin").isNotNull(), (F.col("rate") - F.col("whole")) * F.col("size")).otherwise(0.0)).alias("wanted"))
+    classes = bins.groupBy("source", "class").agg(
+        F.first("target").alias("target"), F.sum("base").alias("base"), F.sum("wanted").alias("wanted"),
+        F.array_sort(F.collect_list(F.struct("bin", "words"))).alias("bins"))  # at most BINS
+    by_class = F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "wanted", "bins")))  # at most 64
+    ordered = classes.groupBy("source").agg(
+        F.reverse(F.array_sort(by_class)).alias("classes"), (F.first("target") - F.sum("base") - F.sum("wanted")).alias("over"))
+
+    def cut_class(state, c):
+        wanted = c["wanted"] + state["carried"]
+
+        def take(s, b):
+            fits = s["open"] & (s["words"] + b["words"] / 2.0 <= wanted)
+            return F.struct(
+                F.when(fits, s["words"] + b["words"]).otherwise(s["words"]).alias("words"), F.when(fits, b["bin"] + 1).otherwise(s["cut"]).alias("cut"), fits.alias("open"))
+
+        start = F.struct(F.lit(0.0).alias("words"), F.lit(0).alias("cut"), F.lit(True).alias("open"))
+        found = F.aggregate(c["bins"], start, take)
+        return F.struct((wanted - found["words"]).alias("carried"), F.concat(state["cuts"], F.array(F.struct(c["class"].alias("class"), found["cut"].alias("cut")))).alias("cuts"))
+
+    start = F.struct(F.col("over").alias("carried"), F.expr("CAST(array() AS array<struct<class:int,cut:int>>)").alias("cuts"))
+    return ordered.select("source", F.map_from_entries(F.aggregate("classes", start, cut_class, lambda s: s["cuts"])).alias("cuts"))
+
+
+def decided(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """What every source needs to turn its documents into copies, a row for each: target, tilt, cuts."""
+    sources = materialise(tilts(rows, targets(rows, weights, share, most), most))
+    cuts = _cuts(_rates(rows, sources, most)).withColumnRenamed("source", "_source")
+    return materialise(sources.join(cuts, _same("source", "_source"), "left").drop("_source"))
+
+
+def _copied(rows: DataFrame, sources: DataFrame, most: float) -> DataFrame:
+    more = F.coalesce(F.col("bin") < F.element_at("cuts", F.col("class")), F.lit(False)).cast("long")
+    return _rates(rows, sources, most).withColumn("copies", F.col("whole") + more)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken of every document."""
-    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")))
-    sources = materialise(tilts(sized, targets(sized, weights, share, most), most))
-    rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("full"), F.lit(most)).otherwise(F.least(F.lit(most), F.exp(F.least(F.col("lambda") * F.col("size") / F.col("mean"), F.lit(50.0)))))
-    chance = (F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 11) + 0.5) / 2.0**53
-    joined = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("rate", rate)
-    rows = joined.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole")).withColumn("copies", F.col("whole"))
-    order = chance / F.greatest(F.col("part"), F.lit(1e-12))
-    rows = rows.withColumn("rank", order / (1 + order)).select("doc_id", "source", "size", "source_size", "target", "rate", "whole", "part", "copies", "rank")
-    for _ in range(PASSES):
-        rows = materialise(_pass(rows))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = materialise(sized(docs))
+    found = _copied(rows, decided(rows, weights, share, most), most)
+    return found.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``docs`` with each document as often as the mix takes it. Rows of one doc_id must be alike."""
-    times = mix(docs, weights, share, most).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    times = times.withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    own = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), own))).select(*docs.columns)
+    """``docs`` with each document as often as the mix takes it. Texts stay where they are; only sizes are aggregated."""
+    sources = decided(materialise(sized(docs)), weights, share, most)
+    rows = _copied(sized(docs, F.struct("*").alias("row")), sources, most)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
