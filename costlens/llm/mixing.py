@@ -8,8 +8,8 @@ Newton steps inside the bracket end it. Each pass is one aggregation over counts
 
 Rates become whole copies by a hash of the document: the whole part, and one more for the first documents in a
 pseudo-random order that favours large remainders. Documents are taken in classes of size (by powers of two), large
-ones first; a class is cut where its extra copies come closest to the words it should add, and what is missing or too
-much goes on to the next smaller class. Cuts are found on sums over BINS bins of the order in each class, at most 64 times
+ones first; a class is cut where its extra copies pass the words it should add, on the side that smaller documents can
+mend, and what is missing or too much goes on to the next smaller class. Cuts are found on sums over BINS bins of the order in each class, at most 64 times
 BINS numbers for each source.
 
 Sources are in code point order, null last. Null texts have size 0 and are taken with no words. Without
@@ -143,19 +143,25 @@ def _cuts(rows: DataFrame) -> DataFrame:
         F.first("target").alias("target"), F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("base"),
         F.sum(F.when(F.col("bin").isNotNull(), (F.col("rate") - F.col("whole")) * F.col("size")).otherwise(0.0)).alias("wanted"))
     classes = bins.groupBy("source", "class").agg(
-        F.first("target").alias("target"), F.sum("base").alias("base"), F.sum("wanted").alias("wanted"),
-        F.array_sort(F.collect_list(F.struct("bin", "words"))).alias("bins"))  # at most BINS
-    by_class = F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "wanted", "bins")))  # at most 64
+        F.first("target").alias("target"), F.sum("base").alias("base"), F.sum("wanted").alias("wanted"), F.sum("words").alias("words"),
+        F.array_sort(F.collect_list(F.struct("bin", F.col("words")))).alias("bins"))  # at most BINS
+    by_class = F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "wanted", "words", "bins")))  # at most 64
     ordered = classes.groupBy("source").agg(
         F.reverse(F.array_sort(by_class)).alias("classes"), (F.first("target") - F.sum("base") - F.sum("wanted")).alias("over"))
 
     def cut_class(state, c):
         wanted = c["wanted"] + state["carried"]
+        smaller = F.filter("classes", lambda k: k["class"] < c["class"])
+        less = F.aggregate(smaller, F.lit(0.0), lambda total, k: total + k["wanted"])  # words that smaller classes can leave out
+        more = F.aggregate(smaller, F.lit(0.0), lambda total, k: total + k["words"]) - less
 
         def take(s, b):
-            fits = s["open"] & (s["words"] + b["words"] / 2.0 <= wanted)
+            short, over = wanted - s["words"], s["words"] + b["words"] - wanted
+            left, right = F.greatest(short - more, F.lit(0.0)), F.greatest(over - less, F.lit(0.0))  # what smaller classes can't mend
+            fits = s["open"] & ((over <= 0) | (right < left) | ((right == left) & (over <= short)))
             return F.struct(
-                F.when(fits, s["words"] + b["words"]).otherwise(s["words"]).alias("words"), F.when(fits, b["bin"] + 1).otherwise(s["cut"]).alias("cut"), fits.alias("open"))
+                F.when(fits, s["words"] + b["words"]).otherwise(s["words"]).alias("words"), F.when(fits, b["bin"] + 1).otherwise(s["cut"]).alias("cut"),
+                (fits & (over < 0)).alias("open"))
 
         start = F.struct(F.lit(0.0).alias("words"), F.lit(0).alias("cut"), F.lit(True).alias("open"))
         found = F.aggregate(c["bins"], start, take)
