@@ -11,12 +11,15 @@ counted in hashed groups of each length, so that no length, however frequent, me
 Null and empty texts have the end id alone. Repeated rows are packed each. Other columns are ignored.
 """
 
+import itertools
 import os
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from costlens.llm.common import byte_values
@@ -26,17 +29,19 @@ LIMIT = 2048
 END_ID = 0
 GRID = 8
 RANK_ROWS = 10_000
-CACHED_WORDS = 500_000
-CACHED_BYTES = 64
+CACHE_BYTES = 48_000_000
+CACHED_WORD = 64  # longer words, in bytes, are not cached
+CHUNK_BYTES = 4_000_000
 _tokenizers: dict[str, tuple] = {}
 
 
 class WordTokenizer:
     """A tokenizer that drops white space; ids of whole texts are joined from those of words cut at ASCII white space.
 
-    Words are independent: no pre-token holds white space. Ids are kept as little-endian 32-bit bytes.
-    Words not seen lately are encoded many at a time, parted by a special token. A full cache keeps the words
-    that came again since it was last full; most words of a corpus are seen once.
+    Words are independent: no pre-token holds white space. The distinct words of a chunk of texts are looked up together, by
+    128-bit hashes in sorted arrays; new ones are encoded many at a time, parted by a special token. The cache is a
+    few flat arrays of CACHE_BYTES at most. When it is full it keeps the words that came again since it was
+    last full, unless they take more than half of it; most words of a corpus are seen once.
     """
 
     def __init__(self, path: str):
@@ -45,44 +50,83 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.parting, self.parting_id = min((token.content, number) for number, token in self.tokenizer.get_added_tokens_decoder().items())
-        self.cache: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 2**16 else np.uint32
+        self._clear()
+
+    def _clear(self) -> None:
+        self.high, self.low = np.empty(0, np.uint64), np.empty(0, np.uint64)  # hashes of cached words, ascending by high
+        self.start, self.count = np.empty(0, np.uint32), np.empty(0, np.uint16)  # where their ids are in the pool
+        self.again = np.empty(0, bool)
+        self.pool = np.empty(0, self.kind)
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain, mark = [], self.parting.encode()
-        for word in words:
-            if len(word) > CACHED_BYTES or b"<|" in word or mark in word:
-                self.cache[word] = np.array(self._encoded([word.decode()])[0], "<u4").tobytes()
+    def _learned(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each word)"""
+        mark = self.parting.encode()
+        alone = np.array([len(word) > CACHED_WORD or b"<|" in word or mark in word for word in words], bool)
+        plain, mark = np.flatnonzero(~alone), self.parting
+        groups = [mark.join([words[i].decode() for i in plain[first:first + 256]]) for first in range(0, len(plain), 256)]
+        rows = self._encoded(groups)
+        flat = np.fromiter(itertools.chain.from_iterable(row + [self.parting_id] for row in rows), self.kind)  # ids of a word, parting, ...
+        cuts = np.flatnonzero(flat == self.parting_id)
+        counts = np.zeros(len(words), np.int64)
+        counts[plain] = np.diff(cuts, prepend=-1) - 1
+        flat, others = flat[flat != self.parting_id], np.flatnonzero(alone)
+        if len(others):
+            found = self._encoded([words[i].decode() for i in others])
+            at = np.cumsum(counts)[others]
+            counts[others] = [len(row) for row in found]
+            flat = np.insert(flat, np.repeat(at, counts[others]), np.concatenate([np.array(row, self.kind) for row in found]))
+        return flat, counts
+
+    def _kept(self, keep: np.ndarray) -> None:
+        start, count = self.start[keep].astype(np.int64), self.count[keep]
+        self.pool = self.pool[spread(start, count)]
+        self.high, self.low, self.count, self.again = self.high[keep], self.low[keep], count, np.zeros(len(keep), bool)
+        self.start = (np.cumsum(count, dtype=np.int64) - count).astype(np.uint32)
+
+    def _remember(self, high: np.ndarray, low: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        start = len(self.pool) + np.cumsum(count) - count
+        self.pool = np.concatenate([self.pool, ids])
+        joined = [np.concatenate(pair) for pair in (
+            (self.high, high), (self.low, low), (self.start, start.astype(np.uint32)), (self.count, count.astype(np.uint16)), (self.again, np.zeros(len(high), bool)))]
+        order = np.argsort(joined[0], kind="stable")
+        self.high, self.low, self.start, self.count, self.again = (column[order] for column in joined)
+        if 23 * len(self.high) + self.pool.nbytes > CACHE_BYTES:
+            keep = np.flatnonzero(self.again)
+            if 23 * len(keep) + self.pool.itemsize * int(self.count[keep].sum()) <= CACHE_BYTES // 2:
+                self._kept(keep)
             else:
-                plain.append(word)
-        groups = [plain[i:i + 256] for i in range(0, len(plain), 256)]
-        for group, ids in zip(groups, self._encoded([self.parting.join(word.decode() for word in group) for group in groups])):
-            row = np.array(ids, "<u4")
-            ends = np.concatenate([np.flatnonzero(row == self.parting_id), [len(row)]])
-            start = 0
-            for word, end in zip(group, ends):
-                self.cache[word] = row[start:end].tobytes()
-                start = end + 1
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [text.split() for text in texts]
-        if len(self.cache) > CACHED_WORDS:
-            kept = self.again if len(self.again) <= CACHED_WORDS // 2 else ()
-            self.cache = {word: self.cache[word] for word in kept if word in self.cache}
-            self.again = set()
-        cache, distinct = self.cache, set().union(*words)
-        new = distinct.difference(cache)
-        self.again |= distinct - new
-        self._learn(list(new))
-        out = [b"".join(map(cache.__getitem__, row)) for row in words]
-        for row in words:
-            for word in row if max(map(len, row), default=0) > CACHED_BYTES else ():
-                if len(word) > CACHED_BYTES:
-                    cache.pop(word, None)
-        return out
+                self._clear()
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and where the last end)"""
+        lists = pc.ascii_split_whitespace(texts)
+        encoded = lists.flatten().dictionary_encode()
+        words = byte_values(encoded.dictionary)
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
+        at = np.minimum(np.searchsorted(self.high, hashes[:, 0]), max(len(self.high) - 1, 0))
+        known = (self.high[at] == hashes[:, 0]) & (self.low[at] == hashes[:, 1]) if len(self.high) else np.zeros(len(words), bool)
+        new = np.flatnonzero(~known)
+        self.again[at[known]] = True
+        ids, counts = self._learned([words[i] for i in new])
+        pool = np.concatenate([self.pool, ids])
+        start, count = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        start[known], count[known] = self.start[at[known]], self.count[at[known]]
+        start[new], count[new] = len(self.pool) + np.cumsum(counts) - counts, counts
+        short = np.array([len(words[i]) <= CACHED_WORD for i in new], bool)
+        self._remember(hashes[new[short], 0], hashes[new[short], 1], ids[np.repeat(short, counts)], counts[short])
+        indices = encoded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(count[indices])])
+        return pool[spread(start[indices], count[indices])], ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, ``count`` numbers each, one run after the other."""
+    ends = np.cumsum(count, dtype=np.int64)
+    return np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _word_tokenizer(path: str | None) -> WordTokenizer:
@@ -97,20 +141,25 @@ def _word_tokenizer(path: str | None) -> WordTokenizer:
 
 def _pieces(path: str | None, limit: int, end_id: int, with_ids: bool):
     def run(batches):
-        encode, end = _word_tokenizer(path), np.array([end_id], "<u4").tobytes()
+        encode = _word_tokenizer(path)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            texts = [text or b"" for text in byte_values(batch["text"])]
-            for first in range(0, len(texts), 512):
-                docs, rows = batch["doc_id"].to_pylist()[first:first + 512], []
-                for doc, ids in zip(docs, encode(texts[first:first + 512])):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), 4 * limit)):
-                        part = ids[start:start + 4 * limit]
-                        rows.append((doc, piece, start // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-                columns = list(zip(*rows))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in list(zip(columns, kinds))[:5 + with_ids]], names[:5 + with_ids])
+            texts, docs = pc.fill_null(batch["text"], ""), batch["doc_id"].to_pylist()
+            before = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))])
+            first = 0
+            while first < len(docs):
+                last = max(first + 1, int(np.searchsorted(before, before[first] + CHUNK_BYTES, side="right")) - 1)
+                ids, ends = encode(texts.slice(first, last - first))
+                data = memoryview(np.insert(ids.astype("<u4"), ends[1:], end_id).tobytes())
+                rows = []
+                for place, (doc, begin, end) in enumerate(zip(docs[first:last], ends[:-1].tolist(), ends[1:].tolist())):
+                    begin, end = begin + place, end + place + 1
+                    for piece, start in enumerate(range(begin, end, limit)):
+                        part = data[4 * start:4 * min(start + limit, end)]
+                        rows.append((doc, piece, start - begin, len(part) // 4, zlib.crc32(part), bytes(part) if with_ids else None))
+                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(list(zip(*rows))[:len(names)], kinds)], names)
+                first = last
 
     return run
 
