@@ -13,7 +13,8 @@ TREE_LOSS, and refused by its sketches with at most GATE_LOSS. At 75 percent the
 positions (96 are expected). A threshold that would need more than MOST_ROOTS trees (below 48 percent) is refused.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Rows without doc_id
-link with nothing, have a null component and are kept. Repeated rows get the same component. Other columns
+link with nothing, have a null component and are kept. Repeated rows get the same component. Unlike texts of one
+doc_id are classes of their own: each has its own links and component. Other columns, whatever their names,
 are ignored by ``near_duplicates`` and returned by ``keep_one``.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from costlens.llm.common import byte_values, components, linked, mixed, whole_groups, window_hashes, word_hashes
+from costlens.llm.common import byte_values, components, linked, mixed, small_batches, whole_groups, window_hashes, word_hashes
 from costlens.session import materialise
 
 POSITIONS = 128
@@ -84,7 +85,7 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 def _sketches(width: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sizes, one, two, sketches, roots = [], [], [], [], []
             for text in byte_values(batch["text"]):
                 found = shingle_set(text, width)
@@ -96,16 +97,16 @@ def _sketches(width: int, trees: int):
                 sketches.append((values & np.uint64(0xFFFF)).astype("<u2").tobytes())
                 roots.append(mixed(values[:trees] + np.arange(trees, dtype=np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.binary()),
+                batch["doc_id"], batch["text1"], batch["text2"], pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, trees * len(sizes) + 1, trees), pa.int32()), pa.array(np.concatenate(roots) if roots else [], pa.int64())),
-            ], ["doc_id", "size", "key1", "key2", "sketch", "roots"])
+            ], ["doc_id", "text1", "text2", "size", "key1", "key2", "sketch", "roots"])
 
     return run
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [shingle_set(text, width).tobytes() for text in byte_values(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["cluster"], batch["blocks"], batch["doc"], pa.array(sets, pa.binary())], ["cluster", "blocks", "doc", "shingles"])
 
@@ -222,32 +223,54 @@ def candidate_nodes(classes: DataFrame, trees: int) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document; see the module's text."""
+def _text_key(*others) -> list:
+    """doc_id and a 128-bit hash of the text: what tells rows apart that are not repeated."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text1"), F.xxhash64(F.lit("text"), "text").alias("text2"), *others]
+
+
+def labelled(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, text1, text2, size, part (the number of its component, null without a set or any doc_id), component_id of every row."""
     trees = tree_count(percent)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = materialise(texts.mapInArrow(_sketches(width, trees), "doc_id long, size long, key1 long, key2 long, sketch binary, roots array<long>"))
-    keys = materialise(sketched.where("size > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("doc")).where("doc IS NOT NULL"))
-    classes = sketched.join(keys, ["key1", "key2"]).where("doc_id = doc").select("doc", "size", "sketch", "roots").dropDuplicates(["doc"])
-    classes = materialise(classes)
+    texts = docs.select(*_text_key(F.col("text")))
+    sketched = materialise(texts.mapInArrow(
+        _sketches(width, trees), "doc_id long, text1 long, text2 long, size long, key1 long, key2 long, sketch binary, roots array<long>"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text1", "text2"))).alias("first")
+    keys = sketched.where("size > 0").groupBy("key1", "key2").agg(first).where("first IS NOT NULL").select("key1", "key2", "first.*")
+    keys = materialise(keys.withColumn("doc", F.monotonically_increasing_id()))
+    classes = sketched.select("key1", "key2", "doc_id", "text1", "text2", "size", "sketch", "roots").join(
+        keys, ["key1", "key2", "doc_id", "text1", "text2"]).dropDuplicates(["doc"])
+    classes = materialise(classes.select("doc", "doc_id", "text1", "text2", "size", "sketch", "roots"))
 
     nodes = candidate_nodes(classes, trees).join(classes.select("doc", "size", "sketch"), "doc")
     clusters = materialise(components(_in_groups(nodes, _similar_sketches(percent))).select(F.col("node").alias("doc"), F.col("component").alias("cluster")))
-    sizes = clusters.join(classes.select("doc", "size"), "doc").groupBy("cluster").agg(F.sum("size").alias("shingles"), F.count("*").alias("members"))
+    members = clusters.join(classes.select("doc", "doc_id", "text1", "text2", "size"), "doc")
+    sizes = members.groupBy("cluster").agg(F.sum("size").alias("shingles"), F.count("*").alias("members"))
     blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("members") / BLOCK_SETS))
-    placed = materialise(clusters.join(sizes.select("cluster", blocks.alias("blocks")), "cluster"))
-    sets = texts.join(placed, texts["doc_id"] == placed["doc"]).select("cluster", "blocks", "doc", "text").dropDuplicates(["doc"])
+    placed = materialise(members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster"))
+    sets = texts.join(placed, ["doc_id", "text1", "text2"]).select("cluster", "blocks", "doc", "text").dropDuplicates(["doc"])
     sets = sets.mapInArrow(_sets(width), "cluster long, blocks long, doc long, shingles binary").withColumnRenamed("cluster", "node")
     links = components(_in_groups(_block_pairs(sets, "blocks"), _similar_sets(percent)))
 
-    labelled = materialise(keys.join(links.withColumnRenamed("node", "doc"), "doc", "left").select("key1", "key2", F.coalesce("component", "doc").alias("component")))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return sketched.join(labelled, ["key1", "key2"], "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    parts = materialise(keys.join(links.withColumnRenamed("node", "doc"), "doc", "left").select("key1", "key2", "doc_id", F.coalesce("component", "doc").alias("part")))
+    least = parts.groupBy("part").agg(F.min("doc_id").alias("least"))
+    named = parts.select("key1", "key2", "part").join(least, "part")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return sketched.drop("sketch", "roots").join(named, ["key1", "key2"], "left").select(
+        "doc_id", "text1", "text2", "size", F.when(F.col("doc_id").isNotNull(), F.col("part")).alias("part"), component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document; see the module's text."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return labelled(docs, width, percent).select("doc_id", F.col("size").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """The documents with the smallest doc_id of each group, one row for each; rows without doc_id stay."""
-    kept = near_duplicates(docs, width, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group, of those with the smallest doc_id, and one of repeated rows; rows without doc_id stay."""
+    rows = labelled(docs, width, percent).where("doc_id IS NOT NULL")
+    key = ["doc_id", "text1", "text2"]
+    first = rows.where("part IS NOT NULL").groupBy("part").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    kept = first.unionByName(rows.where("part IS NULL").select(*key)).distinct()
+    carried = docs.select(*_text_key(F.struct("*").alias("row")))
+    named = carried.where("doc_id IS NOT NULL").join(kept, key, "left_semi").dropDuplicates(key)
+    return named.unionByName(carried.where("doc_id IS NULL")).select("row.*")
