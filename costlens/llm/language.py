@@ -126,8 +126,16 @@ def decide(vector: np.ndarray, model: dict) -> tuple[str, float]:
     return best, float(sure * (votes[best] / (len(languages) - 1) if len(languages) > 1 else 1.0))
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with lang_pred and score; only the text is looked at."""
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it."""
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its score, under names that replace columns of the table; only the text is looked at."""
     def run(batches):
         for batch in batches:
             found = []
@@ -136,17 +144,20 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 found.append((UNKNOWN, 0.0) if vector is None else decide(vector, model))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"])
+                [*batch.schema.names, lang, score])
 
-    clash = docs.drop("lang_pred", "score")
-    return clash.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clash.schema.fields) + ", lang_pred string, score double")
+    rest = docs.drop(lang, score)
+    return rest.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields) + f", `{lang}` string, `{score}` double")
 
 
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` with held_out, lang_pred, score; learned from the labelled documents that are not held out."""
+def identify(docs: DataFrame, held: str = "held_out", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with held_out, lang_pred, score; learned from the labelled documents that are not held out.
+
+    Columns of these names are replaced; give other names (``free_name``) to keep a table's own.
+    """
     model = learn(docs.select("doc_id", "text", "lang").where(~held_out()))
-    return predict(docs.withColumn("held_out", held_out()), model)
+    return predict(docs.withColumn(held, held_out()), model, lang, score)
