@@ -3,7 +3,7 @@
 Each stage takes all rows its predecessor kept; all but the last return the columns of documents.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costlens.llm import language, mixing, near_dedup, packing, personal_data
 from costlens.session import new_dir, prepare
@@ -13,8 +13,9 @@ LEAST_SCORE = 0.05
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go; the others carry the predicted one."""
-    found = language.identify(docs).where(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}")
-    return found.drop("lang").withColumnRenamed("lang_pred", "lang").select(*docs.columns)
+    names = [language.free_name(docs, name) for name in ("held_out", "lang_pred", "score")]
+    found = language.identify(docs, *names).where((F.col(names[1]) != language.UNKNOWN) & (F.col(names[2]) >= LEAST_SCORE))
+    return found.withColumn("lang", F.col(names[1])).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
