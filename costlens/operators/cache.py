@@ -1,14 +1,11 @@
 """The semantic cache: lookups, expiry, replay of a whole log, threshold sweep."""
 
-from collections.abc import Callable
-from functools import partial, reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from costlens import constants as K
 from costlens.functions.money import percent
+from costlens.operators import replay as replay_of
 from costlens.operators.similarity import BLOCK_ROWS, MAX_BROADCAST_ROWS, attach_best, similar_alive
-from costlens.session import materialise
 
 
 def answerable(entries: DataFrame) -> DataFrame:
@@ -44,88 +41,12 @@ def threshold_sweep(queries: DataFrame, entries: DataFrame, thresholds: list[flo
 
 # ---- replay ------------------------------------------------------------------------------
 
-_KEPT = ["request_id", "_t", "asked_at", "embedding", "answered"]
-
-
 def replay(
     requests: DataFrame, ttl_seconds: int = K.CACHE_TTL_SECONDS, stored: DataFrame | None = None,
-    slab_seconds: int = 86_400, block_rows: int = BLOCK_ROWS, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    slab_seconds: int | None = None, block_rows: int = BLOCK_ROWS, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Hit or miss of every request when each answered miss is stored for the ones after it.
-
-    ``requests``: ``request_id`` (integer), ``asked_at, embedding, answered``. Returns
-    ``request_id, asked_at, hit, stored``. ``stored`` carries earlier stored requests in.
-
-    The log is worked off in time slabs. Inside one, rounds decide many requests at once: an
-    open request that a stored one answers is a hit; one that no earlier open request could
-    answer is a miss, and is stored. The earliest open request is always decided, so the rounds
-    end. Each round is written out, which keeps plans short and survives lost executors.
-    """
-    span = ttl_seconds * 1_000_000
-    search = partial(similar_alive, span=span, earlier_only=True, block_rows=block_rows, max_broadcast_rows=max_broadcast_rows)
-    base = requests.withColumn("_t", F.unix_micros("asked_at")).select(*_KEPT)
-    low, high = base.agg(F.min("_t"), F.max("_t")).first()
-    carry = base.limit(0) if stored is None else stored.withColumn("answered", F.lit(True)).withColumn(
-        "_t", F.unix_micros("asked_at")).select(*_KEPT)
-    decided = []
-    while low is not None and low <= high:
-        end = low + slab_seconds * 1_000_000
-        slab = base.where((F.col("_t") >= low) & (F.col("_t") < end))
-        parts, carry = _replay_slab(slab, carry.where(F.col("_t") >= low - span), span, search)
-        decided.extend(parts)
-        low = end
-    return reduce(DataFrame.unionByName, decided, _verdict(base.limit(0), False, False))
-
-
-def _verdict(rows: DataFrame, hit: bool, stored: bool) -> DataFrame:
-    return rows.select("request_id", "asked_at", F.lit(hit).alias("hit"), F.lit(stored).alias("stored"))
-
-
-def _replay_slab(slab: DataFrame, carry: DataFrame, span: int, search: Callable) -> tuple[list[DataFrame], DataFrame]:
-    decided: list[DataFrame] = []
-    kept = news = carry
-    waiting = materialise(slab)
-    while True:
-        hits = materialise(_served(waiting, news, span, search))
-        decided.append(_verdict(waiting.join(hits, "request_id", "left_semi"), True, False))
-        waiting = materialise(waiting.join(hits, "request_id", "left_anti"))
-        news = materialise(_unblocked(waiting.where("answered"), span, search))
-        if news.isEmpty():
-            # only requests without an answer are left, and nothing stored serves them
-            return [*decided, _verdict(waiting, False, False)], kept
-        decided.append(_verdict(news, False, True))
-        kept = kept.unionByName(news)
-        waiting = waiting.join(news.select("request_id"), "request_id", "left_anti")
-
-
-def _served(waiting: DataFrame, stored: DataFrame, span: int, search: Callable) -> DataFrame:
-    """Ids of the requests that a stored one answers."""
-    return search(
-        waiting.select(F.col("request_id").alias("query_id"), "embedding", F.col("_t").alias("at")),
-        stored.select(F.col("request_id").alias("cache_id"), "embedding", F.col("_t").alias("start"),
-                      (F.col("_t") + span).alias("until")),
-    ).select(F.col("query_id").alias("request_id"))
-
-
-def _unblocked(waiting: DataFrame, span: int, search: Callable) -> DataFrame:
-    """Waiting requests that no earlier waiting request may answer.
-
-    Copies of one vector inside one span are one group: only its first member can be free, and
-    it blocks others until its last member expires. That may block one round too long, never
-    too short.
-    """
-    order = F.struct("_t", "request_id")
-    groups = materialise(
-        waiting.groupBy(
-            F.xxhash64("embedding").alias("_v1"), F.xxhash64(F.lit("v"), "embedding").alias("_v2"),
-            F.floor(F.col("_t") / span).alias("_b"),
-        ).agg(F.min_by(F.struct(*_KEPT), order).alias("first"), F.max("_t").alias("_last"))
-        .select("first.*", "_last"))
-    blocked = search(
-        groups.select(F.col("request_id").alias("query_id"), "embedding", F.col("_t").alias("at")),
-        groups.select(F.col("request_id").alias("cache_id"), "embedding", F.col("_t").alias("start"),
-                      (F.col("_last") + span).alias("until")))
-    return groups.join(blocked.select(F.col("query_id").alias("request_id")), "request_id", "left_anti").select(*_KEPT)
+    """See ``costlens.operators.replay``. ``slab_seconds`` has no effect: all times are worked on together."""
+    return replay_of.replay(requests, ttl_seconds, stored, block_rows=block_rows, max_broadcast_rows=max_broadcast_rows)
 
 
 def replay_answers(requests: DataFrame, decisions: DataFrame, ttl_seconds: int = K.CACHE_TTL_SECONDS) -> DataFrame:

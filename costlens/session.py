@@ -32,6 +32,15 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/costlens/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote (made by ``new_dir``)."""
+    if "/costlens/" not in path:
+        raise ValueError(f"not a folder of this library: {path}")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files."""
     shared_dir(df.sparkSession)

@@ -193,3 +193,42 @@ def test_replay_ties_and_nothing(spark):
     got = cache.replay(as_requests(spark, rows), 900)
     assert {r["request_id"]: (r["hit"], r["stored"]) for r in got.collect()} == sequential(rows, 900)
     assert cache.replay(as_requests(spark, rows).limit(0), 900).count() == 0
+
+
+def jobs_of(spark, name, make):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = make()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_replay_jobs_do_not_grow_with_days(spark):
+    """The same morning on three and on thirty days: spans are worked on together, and nothing written stays but the result."""
+    import os
+
+    from costlens.session import shared_dir
+
+    day = [(t, v, a) for _, t, v, a in traffic(9, 12, 2000)]
+    counts = []
+    for days in (3, 30):
+        rows = [(d * 1000 + i, d * 86_400 + t, v, a) for d in range(days) for i, (t, v, a) in enumerate(day)]
+        got, jobs = jobs_of(spark, f"replay-{days}", lambda rows=rows: cache.replay(as_requests(spark, rows), 900).collect())
+        assert {r["request_id"]: (r["hit"], r["stored"]) for r in got} == sequential(rows, 900)
+        counts.append(jobs)
+    assert counts[1] <= counts[0] + 2
+    left = os.path.join(shared_dir(spark), "costlens")
+    assert not [name for name in os.listdir(left) if name.startswith("replay-")]
+
+
+def test_replay_chain_over_spans(spark):
+    """One question asked all the time, two alike ones in turns, zero vectors, no vectors, no times."""
+    rows = [(i, 100 * i, [1.0, 0.0], True) for i in range(60)]
+    rows += [(100 + i, 130 * i, [0.0, 1.0] if i % 2 else [0.1, 1.0], i % 5 > 0) for i in range(40)]
+    rows += [(200 + i, 10 * i, [0.0, 0.0], True) for i in range(3)]
+    got = cache.replay(as_requests(spark, rows), 900)
+    assert {r["request_id"]: (r["hit"], r["stored"]) for r in got.collect()} == sequential(rows, 900)
+    plain = spark.createDataFrame([(1, None, True), (2, [], True), (3, [1.0], None)], "request_id long, embedding array<double>, answered boolean")
+    untimed = plain.withColumn("asked_at", F.when(F.col("request_id") < 3, F.to_timestamp(F.lit("2024-01-01"))))
+    assert {r["request_id"]: (r["hit"], r["stored"]) for r in cache.replay(untimed).collect()} == {1: (False, True), 2: (False, True), 3: (False, False)}
