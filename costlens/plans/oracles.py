@@ -271,12 +271,18 @@ FROM units"""))
 
 _put("cost_rate_join", _log("SELECT id, tier, ri AS input_rate, ro AS output_rate FROM priced"))
 _put("cosine_pairs", f"WITH {_VECTORS} SELECT query_id, cache_id, round(s, 6) AS score FROM pairs WHERE query_id = cache_id")
-for _name, _alive in (("semantic_cache_lookup", ""), ("semantic_cache_ttl_join", "AND stored_s <= asked_s AND asked_s < stored_s + 3600")):
-    _put(_name, f"""WITH {_VECTORS},
+# vectors normalised once; the widths are the only key that both sides share
+_UNIT = "list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))"
+for _name, _alive in (("semantic_cache_lookup", ""), ("semantic_cache_ttl_join", "AND e.stored_s <= p.asked_s AND p.asked_s < e.stored_s + 3600")):
+    _put(_name, f"""WITH {_VECTORS.split("pairs AS")[0].rstrip().rstrip(",")},
+stored AS MATERIALIZED (SELECT cache_id, response, stored_s, len(v) AS width, {_UNIT} AS u FROM ent WHERE response <> ''),
+asked AS MATERIALIZED (SELECT query_id, asked_s, len(v) AS width, {_UNIT} AS u FROM probe),
+near AS (
+  SELECT p.query_id, e.cache_id, e.response, list_inner_product(p.u, e.u) AS s
+  FROM asked p JOIN stored e ON p.width = e.width {_alive}),
 best AS (
-  SELECT * FROM pairs WHERE response <> '' AND s >= 0.92 {_alive}
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, cache_id) = 1)
-SELECT p.query_id, b.cache_id IS NOT NULL AS hit, b.cache_id, round(b.s, 6) AS score, b.response FROM probe p LEFT JOIN best b USING (query_id)""")
+  SELECT query_id, min({{'order': -round(s, 12), 'id': cache_id, 's': s, 'response': response}}) AS b FROM near WHERE s >= 0.92 GROUP BY query_id)
+SELECT p.query_id, b IS NOT NULL AS hit, b.id AS cache_id, round(b.s, 6) AS score, b.response AS response FROM asked p LEFT JOIN best USING (query_id)""")
 _put("route_classify", f"WITH {_graded()} SELECT query_id, predicted, confidence, score FROM scored")
 _put("model_spine", _spine("SELECT position, model, count FROM spine"))
 _put("node_metrics", _spine(f"""
