@@ -12,8 +12,8 @@ Every row of the queries is a query of its own and every row of the entries an e
 rows that are moved carry a number written once.
 
 ``nearest`` finds the k nearest labelled examples of each query. A small example table, which is
-the normal case, is broadcast after its size was checked; a large one is met block by block. Vectors of
-unlike widths have similarity 0, like those without direction.
+the normal case, is broadcast after its size was checked; a large one streams past parts of the queries, which keep
+their best k and a bound on what can still enter. Vectors of unlike widths have similarity 0, like those without direction.
 """
 
 from collections.abc import Iterator
@@ -31,7 +31,9 @@ BLOCK_ROWS = 8192
 MAX_PIVOTS = 1024
 MAX_BROADCAST_ROWS = 20_000
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
+LANE_BLOCKS = 128
 _CHUNK = 512
+_STREAMED = 1024
 _SLACK = 1e-7
 SCORE_DIGITS = 12
 
@@ -47,11 +49,6 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def _list_array(rows: np.ndarray) -> pa.Array:
-    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
-
-
 def _pivots(entries: DataFrame, block_rows: int) -> np.ndarray:
     """Up to MAX_PIVOTS unit vectors of one width; they decide speed, never results."""
     wanted = min(MAX_PIVOTS, entries.count() // block_rows)
@@ -424,41 +421,152 @@ def _nearest_broadcast(queries: DataFrame, examples: DataFrame, head: pa.Table,
 
 
 def _nearest_blocks(queries: DataFrame, examples: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Parts of the queries, each with its running top k, past which the examples stream in lanes.
+
+    Examples get a number that ascends with their id, so ties are told by numbers. They stand in the order of their home
+    cells; consecutive rows form chunks, and queries that are too far from the cap around a chunk, by what they
+    have already found, don't score it. A part holds about ``block_rows`` queries, a lane LANE_BLOCKS times as many
+    examples; a query brings home one list of k for each lane.
+    """
     queries = _numbered(queries, "_row")
-    one = F.lit(0).alias("_all")
-    left, right = _blocks(
-        queries.select("_row", "embedding", one), examples.select("*", one),
-        ["_all"], "_row", "exemplar_id", block_rows)
-    kind = _neighbour_type(examples)
-    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("neighbours", kind)])
-
-    def search(asked: pa.Table, known: pa.Table) -> pa.Table:
-        if asked.num_rows == 0 or known.num_rows == 0:
-            return pa.table({"_row": asked.column("_row").slice(0, 0),
-                             "neighbours": pa.array([], _arrow_list(known))})
-        known = known.sort_by("exemplar_id")
-        vectors = _by_width(known.column("embedding"))
-        ids, tiers = known.column("exemplar_id").combine_chunks(), known.column("tier").combine_chunks()
-        found = pa.chunked_array([
-            _top(asked.column("embedding").slice(start, _CHUNK), vectors, ids, tiers, k) for start in range(0, asked.num_rows, _CHUNK)])
-        return pa.table({"_row": asked.column("_row"), "neighbours": found})
-
-    on = ["_all", "_lb", "_rb"]
-    per_block = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(search, schema)
-    best_first = Window.partitionBy("_row").orderBy(
-        F.round("n.similarity", SCORE_DIGITS).desc(), F.col("n.exemplar_id"))
-    merged = (
-        per_block.select("_row", F.explode("neighbours").alias("n"))
-        .withColumn("_rank", F.row_number().over(best_first)).where(F.col("_rank") <= k)
-        .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_rank", "n"))).alias("r"))
-        .select("_row", F.transform("r", lambda x: x["n"]).alias("neighbours"))
-    )
+    ordered = examples.repartitionByRange("exemplar_id").sortWithinPartitions("exemplar_id")
+    examples = _numbered(ordered, "_number")
+    parts = max(1, -(-queries.count() // block_rows))
+    lanes = max(1, -(-examples.count() // (block_rows * LANE_BLOCKS)))
+    homes = _with_cells(examples.withColumn("_dim", F.size("embedding")), _pivots(examples.where(F.size("embedding") > 0), block_rows), None)
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    none = lambda name: F.lit(None).cast(examples.schema[name].dataType).alias(name)
+    asked = queries.select(
+        F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int").alias("_part"), each(lanes).alias("_lane"), F.lit(-1).alias("_cell"),
+        F.col("_row").alias("_number"), "embedding", none("exemplar_id"), none("tier"))
+    known = homes.select(
+        each(parts).alias("_part"), F.pmod(F.xxhash64("_number"), F.lit(lanes)).cast("int").alias("_lane"), "_cell", "_number", "embedding", "exemplar_id", "tier")
+    key = ["_part", "_lane"]
+    met = asked.unionByName(known).repartition(*key).sortWithinPartitions(*key, "_cell", "_number")  # queries before examples
+    found = met.mapInArrow(_streamed(k), T.StructType([
+        T.StructField("_row", T.LongType()), T.StructField("number", T.ArrayType(T.LongType())), T.StructField("similarity", T.ArrayType(T.DoubleType())),
+        T.StructField("exemplar_id", T.ArrayType(examples.schema["exemplar_id"].dataType)), T.StructField("tier", T.ArrayType(T.StringType()))]))
+    one = F.arrays_zip("number", "similarity", "exemplar_id", "tier")
+    listed = found.select("_row", F.transform(one, lambda n: F.struct(
+        (-F.round(n["similarity"], SCORE_DIGITS)).alias("order"), n["number"].alias("number"), n["exemplar_id"].alias("exemplar_id"),
+        n["tier"].alias("tier"), n["similarity"].alias("similarity"))).alias("found"))
+    if lanes > 1:
+        listed = listed.groupBy("_row").agg(F.flatten(F.collect_list("found")).alias("found"))  # k for each lane
+    best = F.slice(F.array_sort("found"), 1, k)
+    merged = listed.select("_row", F.transform(best, lambda n: F.struct(n["exemplar_id"].alias("exemplar_id"), n["tier"].alias("tier"), n["similarity"].alias("similarity"))).alias("neighbours"))
     return queries.drop("embedding").join(merged, "_row", "left").drop("_row")
 
 
-def _arrow_list(known: pa.Table) -> pa.DataType:
-    return pa.list_(pa.struct([
-        ("exemplar_id", known.schema.field("exemplar_id").type), ("tier", pa.string()), ("similarity", pa.float64())]))
+class _Running:
+    """The best k examples so far of the queries of one part and lane."""
+
+    def __init__(self, rows: np.ndarray, vectors: pa.Array, k: int):
+        self.rows, self.k = rows, k
+        self.widths = np.asarray(vectors.value_lengths().fill_null(-1))
+        self.units = {int(w): (place, _unit(_matrix(vectors.take(pa.array(place)), w))) for w in np.unique(self.widths) if w > 0
+                      for place in [np.flatnonzero(self.widths == w)]}
+        self.rounded = np.full((len(rows), k), -np.inf)
+        self.score, self.number = self.rounded.copy(), np.full((len(rows), k), np.iinfo(np.int64).max)
+        self.payload: dict[int, tuple] = {}
+        self.scored = 0
+
+    def add(self, chunk: pa.Table) -> None:
+        numbers = np.asarray(chunk.column("_number"))
+        known = _by_width(chunk.column("embedding"))
+        open_rows = np.ones(len(self.rows), bool)
+        if len(known) == 1 and len(known[0][0]) == len(numbers):
+            self._close(open_rows, known[0][1])
+        changed = False
+        for start in range(0, len(self.rows), _CHUNK):
+            some = start + np.flatnonzero(open_rows[start:start + _CHUNK])
+            if len(some):
+                changed |= self._merge(some, numbers, known)
+        if changed:
+            live = np.unique(self.number)
+            fresh = np.flatnonzero(np.isin(numbers, live))
+            taken = chunk.select(["exemplar_id", "tier"]).take(pa.array(fresh))
+            self.payload |= dict(zip(numbers[fresh].tolist(), zip(taken.column("exemplar_id").to_pylist(), taken.column("tier").to_pylist())))
+            if len(self.payload) > 4 * len(live):
+                self.payload = {number: self.payload[number] for number in live.tolist() if number in self.payload}
+
+    def _close(self, open_rows: np.ndarray, units: np.ndarray) -> None:
+        """Closes queries whose angle to the cap around the chunk rules out every row of it."""
+        middle = units.mean(axis=0)
+        length = np.linalg.norm(middle)
+        if length == 0 or not (np.linalg.norm(units, axis=1) > 0.5).all() or units.shape[1] not in self.units:
+            return
+        middle /= length
+        reach = np.arccos(np.clip((units @ middle).min(), -1, 1))
+        place, asked = self.units[units.shape[1]]
+        angle = np.arccos(np.clip(asked @ middle, -1, 1))
+        bound = np.cos(np.maximum(angle - reach, 0)) + _SLACK
+        directed = np.linalg.norm(asked, axis=1) > 0.5
+        open_rows[place[directed & (bound < self.rounded[place, -1])]] = False
+
+    def _merge(self, some: np.ndarray, numbers: np.ndarray, known: list) -> bool:
+        score = np.zeros((len(some), len(numbers)))
+        for places, units in known:
+            width = units.shape[1]
+            if width in self.units:
+                own, asked = self.units[width]
+                fits = np.flatnonzero(self.widths[some] == width)
+                score[np.ix_(fits, places)] = asked[np.searchsorted(own, some[fits])] @ units.T
+        self.scored += score.size
+        rounded = np.round(score, SCORE_DIGITS)
+        hopeful = (rounded >= self.rounded[some, -1:]).any(axis=1)
+        some, score, rounded = some[hopeful], score[hopeful], rounded[hopeful]
+        if not len(some):
+            return False
+        joined = [np.hstack([old[some], new]) for old, new in (
+            (self.rounded, rounded), (self.score, score), (self.number, np.broadcast_to(numbers, score.shape)))]
+        order = np.lexsort((joined[2], -joined[0]), axis=1)[:, :self.k]
+        self.rounded[some], self.score[some], self.number[some] = (np.take_along_axis(part, order, 1) for part in joined)
+        return True
+
+    def result(self, kind: pa.DataType) -> pa.RecordBatch:
+        there = self.rounded > -np.inf
+        offsets = pa.array(np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32))
+        numbers = self.number[there]
+        payload = [self.payload[number] for number in numbers.tolist()]
+        columns = [pa.array(numbers), pa.array(self.score[there]), pa.array([p[0] for p in payload], kind), pa.array([p[1] for p in payload], pa.string())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.rows), *[pa.ListArray.from_arrays(offsets, column) for column in columns]], ["_row", "number", "similarity", "exemplar_id", "tier"])
+
+
+def _streamed(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, running, kind = None, [], None, None
+
+        def ready():
+            nonlocal running, asked
+            if running is None and asked:
+                table = pa.concat_tables(asked)
+                running, asked = _Running(np.asarray(table.column("_number")), table.column("embedding").combine_chunks(), k), []
+            return running
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            kind = table.schema.field("exemplar_id").type
+            group = np.asarray(table.column("_part")).astype(np.int64) << 32 | np.asarray(table.column("_lane"))
+            is_query = np.asarray(table.column("_cell")) < 0
+            edges = np.flatnonzero((np.diff(group) != 0) | (np.diff(is_query.astype(int)) != 0)) + 1
+            for start, end in zip([0, *edges], [*edges, table.num_rows]):
+                if start == end:
+                    continue
+                if group[start] != now:
+                    if ready():
+                        yield running.result(kind)
+                    now, asked, running = group[start], [], None
+                part = table.slice(start, end - start)
+                if is_query[start]:
+                    asked.append(part)
+                elif ready():
+                    for first in range(0, part.num_rows, _STREAMED):
+                        running.add(part.slice(first, _STREAMED))
+        if ready():
+            yield running.result(kind)
+
+    return run
 
 
 def neighbour_rows(found: DataFrame) -> DataFrame:

@@ -232,3 +232,40 @@ def test_replay_chain_over_spans(spark):
     plain = spark.createDataFrame([(1, None, True), (2, [], True), (3, [1.0], None)], "request_id long, embedding array<double>, answered boolean")
     untimed = plain.withColumn("asked_at", F.when(F.col("request_id") < 3, F.to_timestamp(F.lit("2024-01-01"))))
     assert {r["request_id"]: (r["hit"], r["stored"]) for r in cache.replay(untimed).collect()} == {1: (False, True), 2: (False, True), 3: (False, False)}
+
+
+def test_running_bound_skips_far_chunks():
+    """Examples in tight clusters: chunks that can't reach a query's kth example are not scored, and the result is that of scoring all."""
+    import pyarrow as pa
+
+    from costlens.operators import similarity as S
+
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(20, 16))
+    vectors = np.repeat(middle, 1024, axis=0) + 0.05 * rng.normal(size=(20 * 1024, 16))
+    asked = np.repeat(middle, 10, axis=0) + 0.05 * rng.normal(size=(200, 16))
+    lists = lambda rows: pa.array(rows.tolist(), pa.list_(pa.float64()))
+    running = S._Running(np.arange(200), lists(asked), 5)
+    table = pa.table({"_number": np.arange(len(vectors)), "embedding": lists(vectors), "exemplar_id": np.arange(len(vectors)) + 7, "tier": ["x"] * len(vectors)})
+    for start in range(0, len(vectors), 1024):
+        running.add(table.slice(start, 1024))
+    unit = lambda rows: rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    score = np.round(unit(asked) @ unit(vectors).T, 12)
+    assert (running.number == np.argsort(-score, axis=1, kind="stable")[:, :5]).all()
+    assert running.scored < 0.5 * score.size
+    out = running.result(pa.int64()).to_pydict()
+    assert out["exemplar_id"][3] == [n + 7 for n in out["number"][3]]
+
+
+def test_nearest_beyond_the_limit_has_no_window(spark):
+    """No window over candidates and no single key: each query brings home k rows a lane."""
+    queries = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(90)], "query_id long, embedding array<double>")
+    examples = spark.createDataFrame([(i, "medium", [float(i % 11), 1.0, float(i % 5)]) for i in range(600)], "exemplar_id long, tier string, embedding array<double>")
+    from costlens.operators.similarity import LANE_BLOCKS, nearest
+
+    wide = nearest(queries, examples, 3, max_broadcast_rows=0, block_rows=4)  # several parts and lanes
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "_all" not in plan and 600 > 4 * LANE_BLOCKS
+    same = nearest(queries, examples, 3)
+    rows = lambda frame: sorted((r["query_id"], [(n["exemplar_id"], round(n["similarity"], 9)) for n in r["neighbours"]]) for r in frame.collect())
+    assert rows(wide) == rows(same)
