@@ -89,7 +89,18 @@ def exact_quantiles(
     Equal values are counted before anything is ordered, then the ranks wanted are looked up in
     ranges of (group, value).
     """
-    counted = materialise(df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n")))
+    return quantiles_of_counts(value_counts(df, by, value), by, value, quantiles, rows_per_range)
+
+
+def value_counts(df: DataFrame, by: str, value: str) -> DataFrame:
+    """``by, value, n``, written: how often every value stands in its group, nulls left out."""
+    return materialise(df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n")))
+
+
+def quantiles_of_counts(
+    counted: DataFrame, by: str, value: str, quantiles: list[float], rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """``exact_quantiles`` of values already counted."""
     ranged, single = with_range(counted, [by, value], rows_per_range)
     inside = Window.partitionBy(by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     upto = ranged.withColumn("_upto", F.sum("n").over(inside))

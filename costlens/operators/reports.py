@@ -7,8 +7,8 @@ from costlens import constants as K
 from costlens.functions import display, text
 from costlens.functions.money import dollars, exact_sum, percent, ratio
 from costlens.functions.pricing import quota_table, rate_card
-from costlens.operators.ordering import ROWS_PER_RANGE, cumulative_savings, downsample, exact_quantiles
-from costlens.session import fixed_table
+from costlens.operators.ordering import ROWS_PER_RANGE, cumulative_savings, downsample, exact_quantiles, quantiles_of_counts, value_counts
+from costlens.session import fixed_table, materialise
 
 
 # ---- time ranges -------------------------------------------------------------------------
@@ -248,22 +248,27 @@ def latency_percentiles_approx(logs: DataFrame, accuracy: int = 10_000) -> DataF
         "tier", F.round(F.col("q")[0], 1).alias("p50"), F.round(F.col("q")[1], 1).alias("p95"), "count")
 
 
-def _fences(logs: DataFrame) -> DataFrame:
-    """One row per tier, null included, its name in ``_tier``."""
-    quartiles = exact_quantiles(logs, "tier", "latency_ms", [0.25, 0.5, 0.75])
+MOST_FENCES = 10_000  # groups whose fences may be broadcast
+
+
+def _fences(counted: DataFrame) -> DataFrame:
+    """One row per tier, null included, its name in ``_tier``; broadcast while they are few."""
+    quartiles = quantiles_of_counts(counted, "tier", "latency_ms", [0.25, 0.5, 0.75])
     spread = (F.col("q2") - F.col("q0")) * 1.5
-    return quartiles.select(F.col("tier").alias("_tier"), "q0", "q1", "q2", (F.col("q0") - spread).alias("low"), (F.col("q2") + spread).alias("high"))
+    fences = materialise(quartiles.select(F.col("tier").alias("_tier"), "q0", "q1", "q2", (F.col("q0") - spread).alias("low"), (F.col("q2") + spread).alias("high")))
+    return F.broadcast(fences) if fences.count() <= MOST_FENCES else fences
 
 
 def latency_box(logs: DataFrame) -> DataFrame:
-    """Quartiles, whisker ends and outlier count per tier."""
+    """Quartiles, whisker ends and outlier count per tier, all from one count of the values of each tier."""
+    counted = value_counts(logs, "tier", "latency_ms")
     inside = F.col("latency_ms").between(F.col("low"), F.col("high"))
     return (
-        logs.select("tier", "latency_ms").join(_fences(logs), F.col("tier").eqNullSafe(F.col("_tier")))
+        counted.join(_fences(counted), F.col("tier").eqNullSafe(F.col("_tier")))
         .groupBy("tier", "q0", "q1", "q2").agg(
             F.min(F.when(inside, F.col("latency_ms"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("latency_ms"))).alias("whisker_high"),
-            F.count_if(~inside).alias("outliers"))
+            F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"))
         .select("tier", *[F.round(q, 4).alias(n) for q, n in (("q0", "q1"), ("q1", "median"), ("q2", "q3"))],
                 "whisker_low", "whisker_high", "outliers")
     )
@@ -271,7 +276,7 @@ def latency_box(logs: DataFrame) -> DataFrame:
 
 def latency_outliers(logs: DataFrame) -> DataFrame:
     """The rows beyond the whiskers."""
-    joined = logs.join(_fences(logs), F.col("tier").eqNullSafe(F.col("_tier")))
+    joined = logs.join(_fences(value_counts(logs, "tier", "latency_ms")), F.col("tier").eqNullSafe(F.col("_tier")))
     return joined.where(~F.col("latency_ms").between(F.col("low"), F.col("high"))).select("id", "tier", "latency_ms")
 
 

@@ -96,15 +96,23 @@ def eval_result_sink(spark, folder):
 
 
 def _answered(spark, folder):
+    tier = F.element_at(F.array(F.lit("simple"), F.lit("medium"), F.lit("complex")), (F.col("conv_id") % 3 + 1).cast("int"))
     return V.exchanges(S.messages(spark, folder)).select(
-        "conv_id", F.col("question").alias("query"), F.col("answer").alias("response"),
+        "conv_id", F.col("question").alias("query"), F.col("answer").alias("response"), tier.alias("tier"),
         S.after_start(F.col("conv_id") * 60).alias("stored_at"))
 
 
+def _stored(spark, folder):
+    """A store with the entries of all answered requests, with their vectors."""
+    path = new_dir(prepare(spark), "store")
+    cache_store.append(cache_store.keyed(embed_text(cache_store.build(_answered(spark, folder)), "query")), path)
+    return path
+
+
 def _cache_store(spark, folder):
-    return cache_store.build(_answered(spark, folder)).select(
-        "conv_id", text.fingerprint(F.col("query")).alias("query_id"),
-        text.iso(F.col("stored_at")).alias("stored_at"), text.iso(F.col("expires_at")).alias("expires_at"))
+    return cache_store.read(spark, _stored(spark, folder), "2024-01-01 00:00:00").select(
+        "conv_id", "query_id", text.iso(F.col("stored_at")).alias("stored_at"), text.iso(F.col("expires_at")).alias("expires_at"), "tier", "key",
+        F.sha2("query", 256).alias("query_sha256"), F.sha2("response", 256).alias("response_sha256"), F.size("embedding").cast("long").alias("width"))
 
 
 QUERIES["cache_store"] = _cache_store
@@ -112,9 +120,9 @@ QUERIES["cache_store"] = _cache_store
 
 @query
 def cache_purge_expired(spark, folder):
-    entries = cache_store.build(_answered(spark, folder))
-    return cache_store.visible_at(entries, "2024-01-01 01:30:00").select(
-        "conv_id", text.iso(F.col("expires_at")).alias("expires_at"))
+    path, moment = _stored(spark, folder), "2024-01-01 01:30:00"
+    cache_store.purge(spark, path, moment)
+    return cache_store.read(spark, path, moment).select("conv_id", text.iso(F.col("expires_at")).alias("expires_at"), "key")
 
 
 @query

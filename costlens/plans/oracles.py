@@ -195,12 +195,15 @@ _STORE = _ASKED + """,
 stored AS (
   SELECT conv_id, 'sha256:' || substr(sha256(question), 1, 16) || '(len=' || length(question) || ')' AS query_id,
          TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60) AS stored_at,
-         TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + 3600) AS expires_at
+         TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + 3600) AS expires_at, question, answer,
+         sha256(question || chr(10) || answer || chr(10) || (epoch_us(TIMESTAMP '2024-01-01') + conv_id * 60000000)) AS key
   FROM asked WHERE question <> '' AND answer <> '')"""
 _put("cache_store", f"""WITH {_STORE}
-SELECT conv_id, query_id, strftime(stored_at, '%Y-%m-%d %H:%M:%S.%f') AS stored_at, strftime(expires_at, '%Y-%m-%d %H:%M:%S.%f') AS expires_at FROM stored""")
+SELECT conv_id, query_id, strftime(stored_at, '%Y-%m-%d %H:%M:%S.%f') AS stored_at, strftime(expires_at, '%Y-%m-%d %H:%M:%S.%f') AS expires_at,
+  CASE conv_id % 3 WHEN 0 THEN 'simple' WHEN 1 THEN 'medium' ELSE 'complex' END AS tier, key,
+  sha256(question) AS query_sha256, sha256(answer) AS response_sha256, 256 AS width FROM stored""")
 _put("cache_purge_expired", f"""WITH {_STORE}
-SELECT conv_id, strftime(expires_at, '%Y-%m-%d %H:%M:%S.%f') AS expires_at FROM stored WHERE expires_at > TIMESTAMP '2024-01-01 01:30:00'""")
+SELECT conv_id, strftime(expires_at, '%Y-%m-%d %H:%M:%S.%f') AS expires_at, key FROM stored WHERE expires_at > TIMESTAMP '2024-01-01 01:30:00'""")
 _put("live_event_feed", _log("""SELECT request_id, at_text AS created_at, query_id, tier, model_used, cache_hit, fallback_used,
   round(latency_ms, 2) AS latency_ms, input_tokens, output_tokens, theoretical_cost_usd, baseline_cost_usd, savings_source,
   routing_reason, classifier_confidence FROM logs"""))

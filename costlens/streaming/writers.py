@@ -33,7 +33,8 @@ def cached_decisions(
     """Decide hit or miss of streamed requests against what earlier batches stored.
 
     ``alive`` carries the unexpired stored requests from one batch to the next, so a batch reads
-    no more than that. Exact while batches arrive in time order. A batch that is run again
+    no more than that: those that were alive when its earliest request was asked, so a request with a time far ahead or
+    without one ends nothing. Exact while batches arrive in time order. A batch that is run again
     rewrites its own folders from the same input.
     """
     spark = requests.sparkSession
@@ -45,8 +46,8 @@ def cached_decisions(
         decisions.write.mode("overwrite").parquet(_batch_path(output, batch_id))
         news = batch.join(decisions.where("stored").select("request_id"), "request_id", "left_semi").select(*kept)
         pool = news if stored is None else news.unionByName(stored)
-        latest = batch.agg(F.max(F.unix_micros("asked_at"))).scalar()
-        pool.where(F.unix_micros("asked_at") > latest - ttl_seconds * 1_000_000).write.mode("overwrite").parquet(
-            _batch_path(alive, batch_id))
+        earliest = batch.agg(F.min(F.unix_micros("asked_at"))).first()[0]
+        live = F.lit(True) if earliest is None else F.unix_micros("asked_at") > earliest - ttl_seconds * 1_000_000
+        pool.where(live).write.mode("overwrite").parquet(_batch_path(alive, batch_id))
 
     run_batches(requests, decide, checkpoint)
