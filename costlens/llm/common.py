@@ -1,5 +1,6 @@
 """Helpers that several operators share: words and their hashes, sorted groups in a task, linked groups of rows."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,17 @@ def byte_values(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def released(run):
+    """``run`` over the batches of a task, which hands its memory back at its end: workers are reused by later tasks of other kinds."""
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows, few at a time, so that what a task derives from a batch stays small."""
     for batch in batches:

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from costlens.llm.common import released
+
 BINS = 2048
 SAMPLE = 400
 UNKNOWN = "und"
@@ -147,7 +149,7 @@ def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str =
                 [*batch.schema.names, lang, score])
 
     rest = docs.drop(lang, score)
-    return rest.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields) + f", `{lang}` string, `{score}` double")
+    return rest.mapInArrow(released(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields) + f", `{lang}` string, `{score}` double")
 
 
 def held_out(doc_id="doc_id"):

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from costlens.llm.common import byte_values, components, linked, mixed, small_batches, whole_groups, window_hashes, word_hashes
+from costlens.llm.common import byte_values, components, linked, mixed, released, small_batches, whole_groups, window_hashes, word_hashes
 from costlens.session import materialise
 
 POSITIONS = 128
@@ -179,7 +179,7 @@ def _similar_sets(percent: int):
 
 def _in_groups(frame: DataFrame, run) -> DataFrame:
     """Edges found by ``run`` in each group ``node``; many groups share a task."""
-    return frame.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    return frame.repartition("node").sortWithinPartitions("node").mapInArrow(released(run), "a long, b long")
 
 
 def _block_pairs(frame: DataFrame, blocks: str) -> DataFrame:
@@ -233,7 +233,7 @@ def labelled(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     trees = tree_count(percent)
     texts = docs.select(*_text_key(F.col("text")))
     sketched = materialise(texts.mapInArrow(
-        _sketches(width, trees), "doc_id long, text1 long, text2 long, size long, key1 long, key2 long, sketch binary, roots array<long>"))
+        released(_sketches(width, trees)), "doc_id long, text1 long, text2 long, size long, key1 long, key2 long, sketch binary, roots array<long>"))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text1", "text2"))).alias("first")
     keys = sketched.where("size > 0").groupBy("key1", "key2").agg(first).where("first IS NOT NULL").select("key1", "key2", "first.*")
     keys = materialise(keys.withColumn("doc", F.monotonically_increasing_id()))
@@ -248,7 +248,7 @@ def labelled(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("members") / BLOCK_SETS))
     placed = materialise(members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster"))
     sets = texts.join(placed, ["doc_id", "text1", "text2"]).select("cluster", "blocks", "doc", "text").dropDuplicates(["doc"])
-    sets = sets.mapInArrow(_sets(width), "cluster long, blocks long, doc long, shingles binary").withColumnRenamed("cluster", "node")
+    sets = sets.mapInArrow(released(_sets(width)), "cluster long, blocks long, doc long, shingles binary").withColumnRenamed("cluster", "node")
     links = components(_in_groups(_block_pairs(sets, "blocks"), _similar_sets(percent)))
 
     parts = materialise(keys.join(links.withColumnRenamed("node", "doc"), "doc", "left").select("key1", "key2", "doc_id", F.coalesce("component", "doc").alias("part")))

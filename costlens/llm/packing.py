@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from costlens.llm.common import byte_values
+from costlens.llm.common import byte_values, released
 from costlens.session import materialise
 
 LIMIT = 2048
@@ -167,7 +167,7 @@ def _pieces(path: str | None, limit: int, end_id: int, with_ids: bool):
 def pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, as little-endian 32-bit numbers) of every piece."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_pieces(path, limit, end_id, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return texts.mapInArrow(released(_pieces(path, limit, end_id, with_ids)), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def grid_patterns(cells: int) -> np.ndarray:
