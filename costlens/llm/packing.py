@@ -31,7 +31,8 @@ GRID = 8
 RANK_ROWS = 10_000
 CACHE_BYTES = 48_000_000
 CACHED_WORD = 64  # longer words, in bytes, are not cached
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
+AT_ONCE = 16
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -59,8 +60,11 @@ class WordTokenizer:
         self.again = np.empty(0, bool)
         self.pool = np.empty(0, self.kind)
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """A few texts at a time: the tokenizer's own results take many times the room of their ids."""
+        return [
+            np.array(found.ids, self.kind) for first in range(0, len(texts), AT_ONCE)
+            for found in self.tokenizer.encode_batch_fast(texts[first:first + AT_ONCE], add_special_tokens=False)]
 
     def _learned(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each word)"""
@@ -68,8 +72,8 @@ class WordTokenizer:
         alone = np.array([len(word) > CACHED_WORD or b"<|" in word or mark in word for word in words], bool)
         plain, mark = np.flatnonzero(~alone), self.parting
         groups = [mark.join([words[i].decode() for i in plain[first:first + 256]]) for first in range(0, len(plain), 256)]
-        rows = self._encoded(groups)
-        flat = np.fromiter(itertools.chain.from_iterable(row + [self.parting_id] for row in rows), self.kind)  # ids of a word, parting, ...
+        parted = np.array([self.parting_id], self.kind)
+        flat = np.concatenate([parted[:0], *itertools.chain.from_iterable((row, parted) for row in self._encoded(groups))])  # ids of a word, parting, ...
         cuts = np.flatnonzero(flat == self.parting_id)
         counts = np.zeros(len(words), np.int64)
         counts[plain] = np.diff(cuts, prepend=-1) - 1
@@ -78,7 +82,7 @@ class WordTokenizer:
             found = self._encoded([words[i].decode() for i in others])
             at = np.cumsum(counts)[others]
             counts[others] = [len(row) for row in found]
-            flat = np.insert(flat, np.repeat(at, counts[others]), np.concatenate([np.array(row, self.kind) for row in found]))
+            flat = np.insert(flat, np.repeat(at, counts[others]), np.concatenate(found))
         return flat, counts
 
     def _kept(self, keep: np.ndarray) -> None:
