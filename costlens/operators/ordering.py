@@ -45,18 +45,29 @@ def with_range(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RA
     return df.withColumn("_range", F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)), False
 
 
-def _before(totals: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+def _before(totals: DataFrame, by: list[str], columns: dict[str, str], kept: tuple[str, ...] = ()) -> DataFrame:
     """Exclusive running sums over range totals: at most MAX_RANGES rows per group."""
     window = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    return totals.select(*by, "_range", *[
+    return totals.select(*by, "_range", *kept, *[
         F.coalesce(F.sum(source).over(window), F.lit(0)).alias(target) for source, target in columns.items()],
         F.sum("n").over(whole).alias("rows"))
 
 
-def cumulative_savings(logs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``id, created_at, position, rows, cumulative_savings`` in time order."""
+def cumulative_savings(logs: DataFrame, rows_per_range: int = ROWS_PER_RANGE, points: int | None = None) -> DataFrame:
+    """``id, created_at, position, rows, cumulative_savings`` in time order.
+
+    With ``points`` only the rows that ``downsample`` keeps: the ranges' counts tell which of them hold one, and
+    the rows of the others are neither moved nor ordered.
+    """
     rows, single = with_range(logs.select("created_at", "id", "savings_usd"), ["created_at", "id"], rows_per_range)
+    if not single:
+        totals = rows.groupBy("_range").agg(F.count("*").alias("n"), F.sum(units(F.col("savings_usd"))).alias("saved"))
+        # one row per range, at most MAX_RANGES of them
+        before = _before(totals, [], {"n": "rows_before", "saved": "saved_before"}, ("n",))
+        if points is not None:
+            before = materialise(before.where(_holds_point(F.col("rows_before"), F.col("n"), F.col("rows"), points)))
+            rows = rows.join(F.broadcast(before.select("_range")), "_range", "left_semi")
     inside = Window.partitionBy("_range").orderBy("created_at", "id")
     upto_row = inside.rowsBetween(Window.unboundedPreceding, 0)
     running = rows.select(
@@ -67,17 +78,26 @@ def cumulative_savings(logs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) ->
     if single:
         placed = running.withColumn("rows_before", nothing).withColumn("saved_before", nothing)
     else:
-        totals = rows.groupBy("_range").agg(F.count("*").alias("n"), F.sum(units(F.col("savings_usd"))).alias("saved"))
-        # one row per range, at most MAX_RANGES of them
-        placed = running.join(F.broadcast(_before(totals, [], {"n": "rows_before", "saved": "saved_before"})), "_range")
-    return placed.select(
+        placed = running.join(F.broadcast(before.drop("n")), "_range")
+    series = placed.select(
         "id", "created_at", (F.col("_n") + F.col("rows_before")).cast("long").alias("position"), "rows",
         dollars(from_units(F.col("_saved") + F.col("saved_before"))).alias("cumulative_savings"))
+    return series if points is None else downsample(series, points)
+
+
+def _step(points: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col("rows") / points))
+
+
+def _holds_point(before: Column, n: Column, rows: Column, points: int) -> Column:
+    """Whether positions ``before + 1`` to ``before + n`` hold one that ``downsample`` keeps."""
+    step = _step(points)
+    return (F.floor((before + n - 1) / step) > F.floor((before - 1) / step)) | (before + n == rows)
 
 
 def downsample(series: DataFrame, points: int) -> DataFrame:
     """Evenly spaced points of a positioned series plus its last point."""
-    step = F.greatest(F.lit(1), F.ceil(F.col("rows") / points))
+    step = _step(points)
     return series.where(((F.col("position") - 1) % step == 0) | (F.col("position") == F.col("rows")))
 
 

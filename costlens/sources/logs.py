@@ -8,8 +8,12 @@ STORED_LOG = T.StructType(REQUEST_LOG.fields + [T.StructField("day", T.DateType(
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Append rows, one folder per day."""
-    rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+    """Append rows, one folder per day.
+
+    Rows are brought together by day, and adaptive execution splits large days and merges small ones by their measured
+    size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``): the files of a day grow with its bytes, not with the tasks.
+    """
+    rows.withColumn("day", F.to_date("created_at")).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def scan(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:

@@ -96,6 +96,38 @@ def test_downsample(spark, n, points):
     assert len(kept) == points
 
 
+@pytest.mark.parametrize("rows_per_range,points", [(10, 3), (10, 200), (97, 7), (10_000, 200)])
+def test_points_of_a_series_in_ranges(logs, rows_per_range, points):
+    whole = ordering.downsample(ordering.cumulative_savings(logs), points)
+    assert sorted(ordering.cumulative_savings(logs, rows_per_range, points).collect()) == sorted(whole.collect())
+
+
+def test_ranges_without_a_point_are_not_ordered(spark, logs):
+    series = ordering.cumulative_savings(logs, 10, 3)
+    plan = series._jdf.queryExecution().optimizedPlan().toString()
+    # the rows are cut down to the ranges wanted below the window
+    assert 0 < plan.index("Window") < plan.index("Join LeftSemi")
+    totals = spark.range(100).select((F.col("id") * 10).alias("before"), F.lit(10).alias("n"), F.lit(1000).alias("rows"))
+    held = totals.where(ordering._holds_point(F.col("before"), F.col("n"), F.col("rows"), 3))
+    assert [r["before"] for r in held.orderBy("before").collect()] == [0, 330, 660, 990]
+
+
+def test_files_of_a_day_grow_with_its_bytes(spark, logs, tmp_path):
+    scattered = logs.repartition(40)
+    days = logs.select(F.to_date("created_at")).distinct().count()
+    log_source.append(scattered, f"{tmp_path}/few")
+    assert len(list((tmp_path / "few").glob("day=*/*.parquet"))) == days
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "2000")
+        log_source.append(scattered.withColumn("created_at", F.to_timestamp(F.lit("2024-01-12 00:00:00"))), f"{tmp_path}/hot")
+    finally:
+        spark.conf.set(size, before)
+    assert len(list((tmp_path / "hot").glob("day=*/*.parquet"))) > 1
+    assert log_source.scan(spark, f"{tmp_path}/hot").count() == log_source.scan(spark, f"{tmp_path}/few").count() == logs.count()
+
+
 def test_pages_tile_the_log(logs):
     ids = [r["id"] for n in range(1, 4) for r in history.page(logs, n, 10, "latency_ms", "asc").orderBy("latency_ms", "id").collect()]
     whole = [r["id"] for r in logs.orderBy("latency_ms", "id").limit(30).collect()]
