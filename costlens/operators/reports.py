@@ -31,6 +31,9 @@ def in_range(logs: DataFrame, range_key: str | None, as_of: Column | None = None
 
 # ---- totals ------------------------------------------------------------------------------
 
+SUMS = ["requests", "_savings", "_baseline", "_hits", "_fallbacks"]
+
+
 def _totals() -> list[Column]:
     return [
         F.count("*").alias("requests"),
@@ -64,8 +67,7 @@ def kpi_cube(logs: DataFrame) -> DataFrame:
     The log is added up once per combination; the cube is taken over those few rows.
     """
     cells = logs.groupBy("tier", text.model_bucket(F.col("model_used")).alias("model")).agg(*_totals())
-    added = ["requests", "_savings", "_baseline", "_hits", "_fallbacks"]
-    sums = cells.cube("tier", "model").agg(*[F.sum(c).alias(c) for c in added])
+    sums = cells.cube("tier", "model").agg(*[F.sum(c).alias(c) for c in SUMS])
     return sums.select("tier", "model", *_kpi_columns())
 
 
@@ -207,7 +209,7 @@ def savings_today(logs: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 
 def savings_series(logs: DataFrame, points: int = K.MAX_SERIES_POINTS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    return downsample(cumulative_savings(logs, rows_per_range), points)
+    return cumulative_savings(logs, rows_per_range, points)
 
 
 def sparkline(series: DataFrame) -> DataFrame:

@@ -527,8 +527,8 @@ def backoff_schedule(spark, folder):
 
 # ---- streaming ---------------------------------------------------------------------------
 
-def _frames(spark, folder):
-    """The log as JSON frames: some repeated, some malformed, some of another type."""
+def _frames(spark, folder, until=None):
+    """The log, or what was asked before ``until``, as JSON frames: some repeated, some malformed, some of another type."""
     logs = S.request_logs(spark, folder)
     base = new_dir(prepare(spark), "feed")
     key = F.col("id")
@@ -538,7 +538,10 @@ def _frames(spark, folder):
         F.when(key % 500 == 0, F.substring(frame, 1, 40)),
         F.when(key % 500 == 1, F.lit('{"type": "ping"}'))))
     framed = feed.to_events(logs, keep=["id", "created_at"]).repartitionByRange("created_at")
-    framed.select(F.explode(lines).alias("value")).write.text(f"{base}/frames")
+    asked = framed if until is None else framed.where(F.col("created_at") < until)
+    asked.select(F.explode(lines).alias("value")).write.text(f"{base}/frames")
+    if until is not None:
+        framed.where(F.col("created_at") >= until).select(F.explode(lines).alias("value")).write.text(f"{base}/later")
     return base, feed.parse(feed.read_frames(spark, f"{base}/frames"))
 
 
@@ -578,7 +581,14 @@ def stream_recent(spark, folder):
 
 @query
 def stream_reconcile(spark, folder):
-    return feed.reconcile(S.request_logs(spark, folder), _live_totals(spark, folder))
+    """A snapshot of the log in the middle of the month, then the events of the other half."""
+    middle = moment("2024-01-15 00:00:00")
+    base, events = _frames(spark, folder, middle)
+    feed.running_totals(events, f"{base}/out", f"{base}/checkpoint")
+    feed.publish_snapshot(S.request_logs(spark, folder).where(F.col("created_at") < middle), f"{base}/out", f"{base}/published")
+    spark.read.text(f"{base}/later").write.mode("append").text(f"{base}/frames")
+    feed.running_totals(events, f"{base}/out", f"{base}/checkpoint")
+    return feed.compared(feed.published_totals(spark, f"{base}/out", f"{base}/published"), feed.latest_totals(spark, f"{base}/out"))
 
 
 @query
@@ -639,6 +649,6 @@ QUERIES["embed_text"] = _embed_text
 def route_batch(spark, folder):
     asked = embed_text(V.exchanges(S.messages(spark, folder)), "question").select(
         F.col("conv_id").alias("id"), S.after_start(F.col("conv_id") * 60).alias("created_at"), "question", "answer",
-        "estimated_tokens", "embedding", F.length("answer").cast("double").alias("latency_ms"))
+        "estimated_tokens", "joined_tokens", "embedding", F.length("answer").cast("double").alias("latency_ms"))
     routed = route.route_batch(asked, S.attempts(spark, folder), route.example_vectors(spark))
     return _shown(routed.select("id", *K.HISTORY_COLUMNS, "request_id", "classifier_confidence"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costlens.functions.money import exact_sum
 from costlens.functions.text import iso
-from costlens.operators.reports import _kpi_columns, _totals, kpi_totals
+from costlens.operators.reports import SUMS, _kpi_columns, _totals, kpi_totals
 from costlens.schemas import LIVE_EVENT
 
 LATENESS = "10 minutes"
@@ -71,7 +71,7 @@ def running_totals(events: DataFrame, output: str, checkpoint: str) -> None:
     totals = deduplicated(events).agg(*_totals())
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.lit(batch_id).alias("batch_id"), *_kpi_columns()).write.mode("overwrite").parquet(
+        batch.select(F.lit(batch_id).alias("batch_id"), *_kpi_columns(), F.struct(*SUMS).alias("sums")).write.mode("overwrite").parquet(
             _batch_path(output, batch_id))
 
     run_batches(totals, publish, checkpoint, "complete")
@@ -80,7 +80,7 @@ def running_totals(events: DataFrame, output: str, checkpoint: str) -> None:
 def latest_totals(spark: SparkSession, output: str) -> DataFrame:
     """The newest published row."""
     rows = spark.read.parquet(f"{output}/batch=*")
-    newest = F.max_by(F.struct(*[c for c in rows.columns if c != "batch_id"]), "batch_id")
+    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("batch_id", "sums")]), "batch_id")
     return rows.agg(newest.alias("r")).select("r.*")
 
 
@@ -103,11 +103,52 @@ def latest_recent(spark: SparkSession, output: str) -> DataFrame:
     return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
 
 
+def publish_snapshot(logs: DataFrame, totals: str, output: str) -> int:
+    """Let the log's totals replace the live ones from here on; returns the number of the new version.
+
+    A version is one row, written whole: the sums over ``logs`` and the stream's position, the newest batch in the folder
+    ``totals`` of ``running_totals`` (-1 before the first). ``logs`` must hold the events of the batches up to there.
+    The stream goes on meanwhile; a reader takes the newest version and adds what was counted behind its position.
+    """
+    spark = logs.sparkSession
+    # the position is read first: a batch that ends meanwhile is added by readers
+    position = max(_numbers(spark, totals, "batch="), default=-1)
+    version = max(_numbers(spark, output, "version="), default=-1) + 1
+    row = logs.agg(*_totals()).select(F.lit(position).cast("long").alias("position"), F.struct(*SUMS).alias("sums"))
+    row.write.parquet(f"{output}/version={version:012d}")
+    return version
+
+
+def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """The numbers of the finished folders ``prefix<number>``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [int(status.getPath().getParent().getName()[len(prefix):]) for status in found]
+
+
+def published_totals(spark: SparkSession, totals: str, output: str) -> DataFrame:
+    """The newest snapshot plus what the stream counted after it; three one-row folders are read."""
+    version = max(_numbers(spark, output, "version="))
+    snapshot = spark.read.parquet(f"{output}/version={version:012d}").first()
+    batches = _numbers(spark, totals, "batch=")
+    wanted = {snapshot["position"], max(batches, default=-1)} & set(batches)
+    sums = spark.read.parquet(f"{output}/version={version:012d}").select("sums.*")
+    for batch in wanted if len(wanted) == 2 or snapshot["position"] < 0 else ():
+        counted = spark.read.parquet(_batch_path(totals, batch)).select("sums.*")
+        sums = sums.unionByName(counted.select(*[F.negative(c).alias(c) for c in SUMS]) if batch == snapshot["position"] else counted)
+    return sums.agg(*[F.sum(c).alias(c) for c in SUMS]).select(*_kpi_columns())
+
+
 def reconcile(logs: DataFrame, live: DataFrame) -> DataFrame:
     """The authoritative totals beside the live ones; ``in_step`` says whether they agree."""
+    return compared(kpi_totals(logs), live)
+
+
+def compared(totals: DataFrame, live: DataFrame) -> DataFrame:
+    """``reconcile`` of totals already at hand, such as the published ones."""
     fields = ["requests", "savings_usd", "baseline_usd", "savings_pct", "cache_hit_rate", "fallback_rate"]
     shown = live.select(F.struct(*fields)).scalar()
-    return kpi_totals(logs).select(*fields).withColumn("live", shown).select(
+    return totals.select(*fields).withColumn("live", shown).select(
         *fields, F.col("live.requests").alias("live_requests"),
         (F.struct(*fields) == F.col("live")).alias("in_step"))
 
