@@ -6,7 +6,7 @@ from costlens import constants as K
 from costlens.functions import text
 from costlens.functions.embedding import embed_text
 from costlens.functions.pricing import rate_card, with_costs
-from costlens.operators import attempts as A, cache, evaluation, grading
+from costlens.operators import attempts as A, cache, conversations, evaluation, grading
 from costlens.operators.skew import salted_join
 from costlens.session import materialise
 from costlens.sources.tables import example_questions
@@ -28,8 +28,14 @@ def route_batch(requests: DataFrame, attempts: DataFrame, exemplars: DataFrame)
     """Log rows of a batch of requests; those that failed are not logged and never stored.
 
     ``requests``: ``id`` (integer), ``created_at, question, answer, estimated_tokens, embedding,
-    latency_ms``. Models are not called: their answers and attempts are input.
+    latency_ms``, ``joined_tokens`` (the estimate of all messages joined) and, where calls reported one, ``usage``
+    with ``prompt_tokens, completion_tokens``. Models are not called: their answers and attempts are input.
+    A request that was sent to a model is billed by its usage record, else by the joined estimate; a hit by ``estimated_tokens``.
     """
+    if "usage" not in requests.columns:
+        requests = requests.withColumn("usage", F.lit(None).cast("struct<prompt_tokens:long,completion_tokens:long>"))
+    requests = conversations.usage_or_estimate(requests.withColumns({
+        "estimated_input": F.col("joined_tokens"), "estimated_output": F.coalesce(F.floor(F.length("answer") / 4), F.lit(0))}))
     failed = A.rollup(attempts).where(~F.col("answered")).select("request_id")
     all_asked = requests.withColumn("request_id", text.request_id(F.col("id")))
     asked = materialise(all_asked.join(failed.withColumn("failed", F.lit(True)), "request_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False))))
@@ -67,8 +73,8 @@ def route_batch(requests: DataFrame, attempts: DataFrame, exemplars: DataFrame)
             served.alias("tier"), hit.alias("cache_hit"), fallback.alias("fallback_used"),
             F.when(hit, 1.0).when(final != tier, confidence * K.ESCALATION_FACTOR).otherwise(confidence).alias("classifier_confidence"),
             F.round("latency_ms", 2).alias("latency_ms"),
-            F.col("estimated_tokens").alias("input_tokens"),
-            text.estimated_tokens(F.coalesce("served_answer", "answer")).alias("output_tokens"),
+            F.when(hit, F.col("estimated_tokens")).otherwise(F.col("input_tokens")).alias("input_tokens"),
+            F.when(hit, text.estimated_tokens(F.coalesce("served_answer", "answer"))).otherwise(F.col("output_tokens")).alias("output_tokens"),
         )
         .withColumn("routing_reason", text.routing_reason(F.col("cache_hit"), F.col("fallback_used"), F.col("tier")))
     )
