@@ -238,9 +238,18 @@ def _alive_blocks(q: DataFrame, e: DataFrame, span: int, matcher, threshold: flo
 
 
 def _small(df: DataFrame, max_rows: int) -> pa.Table | None:
-    """The whole frame if it is within the broadcast bounds."""
-    head = df.limit(max_rows + 1).toArrow()
-    return head if head.num_rows <= max_rows and head.nbytes <= MAX_BROADCAST_BYTES else None
+    """The whole frame if it is within the broadcast bounds; its rows are counted and measured before any is fetched."""
+    def taken(field: T.StructField) -> Column:
+        if isinstance(field.dataType, T.ArrayType):
+            return F.coalesce(F.size(field.name), F.lit(0)) * 8
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) if isinstance(field.dataType, T.StringType) else F.lit(8)
+
+    held = sum((taken(field).cast("long") for field in df.schema.fields), F.lit(0).cast("long"))
+    rows, size = df.select(held.alias("held")).limit(max_rows + 1).agg(F.count("*"), F.sum("held")).first()
+    if rows > max_rows or (size or 0) > MAX_BROADCAST_BYTES:
+        return None
+    head = df.toArrow()
+    return head if head.nbytes <= MAX_BROADCAST_BYTES else None
 
 
 def _vector_key() -> Column:

@@ -144,6 +144,14 @@ def test_nearest_with_two_widths(spark, limit, block):
         assert [n["exemplar_id"] for n in row["neighbours"]] == [j for _, j in expected]
 
 
+def test_long_answers_are_measured_before_they_are_fetched(spark):
+    entries = spark.range(100).select(F.col("id").alias("cache_id"), F.array(F.lit(1.0)).alias("embedding"), F.repeat(F.lit("x"), 2_000_000).alias("response"))
+    assert similarity._small(entries, 20_000) is None
+    assert similarity._small(entries.drop("response"), 99) is None
+    assert similarity._small(entries.drop("response"), 100).num_rows == 100
+    assert similarity._small(entries.limit(0), 100).num_rows == 0
+
+
 def test_answerless_entries_hide_nothing(spark):
     entries = spark.createDataFrame([(1, [1.0, 0.0], ""), (2, [1.0, 0.1], "yes"), (3, [1.0, 0.0], None)], "cache_id long, embedding array<double>, response string")
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "query_id long, embedding array<double>")
