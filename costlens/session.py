@@ -22,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     if configured is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        configured = _own_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        if context.applicationId not in _own_dirs:
+            _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        configured = _own_dirs[context.applicationId]
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
