@@ -6,7 +6,7 @@ Each stage takes all rows its predecessor kept; all but the last return the colu
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costlens.llm import language, mixing, near_dedup, packing, personal_data
-from costlens.session import new_dir, prepare
+from costlens.session import new_dir, prepare, remove
 
 LEAST_SCORE = 0.05
 
@@ -51,9 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; what a stage wrote is removed when the next one is written."""
+    docs, written = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_dir(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if written:
+            remove(spark, written)
+        written = path
     return docs
