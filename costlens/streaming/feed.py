@@ -8,6 +8,8 @@ from costlens.operators.reports import SUMS, _kpi_columns, _totals, kpi_totals
 from costlens.schemas import LIVE_EVENT
 
 LATENESS = "10 minutes"
+KEPT_BATCHES = 10  # results of that many batches stay, for readers that opened one before it was replaced; at least 2
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def to_events(logs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -40,8 +42,15 @@ def deduplicated(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return events.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["request_id"])
 
 
+def _keep_state_on_disk(spark: SparkSession) -> None:
+    """Remembered ids and windows live in RocksDB, not in the heap of executors, unless the session names another store."""
+    if spark.conf.get(_STORE, None) is None:
+        spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> None:
     """Work off what is there into a Parquet folder, exactly once."""
+    _keep_state_on_disk(stream.sparkSession)
     query = (
         stream.writeStream.format("parquet").outputMode(mode)
         .option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -50,6 +59,7 @@ def run(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -
 
 
 def run_batches(stream: DataFrame, handle, checkpoint: str, mode: str = "append") -> None:
+    _keep_state_on_disk(stream.sparkSession)
     query = (
         stream.writeStream.foreachBatch(handle).outputMode(mode)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -61,27 +71,33 @@ def _batch_path(folder: str, batch_id: int) -> str:
     return f"{folder}/batch={batch_id:012d}"
 
 
+def replace_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
+    """Write the result that a batch ends with and remove the one it replaces, KEPT_BATCHES earlier.
+
+    A batch that is run again overwrites its own folder and removes the same one.
+    """
+    rows.write.mode("overwrite").parquet(_batch_path(folder, batch_id))
+    if batch_id >= KEPT_BATCHES:
+        spark = rows.sparkSession
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_batch_path(folder, batch_id - KEPT_BATCHES))
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 # ---- running figures ---------------------------------------------------------------------
 
 def running_totals(events: DataFrame, output: str, checkpoint: str) -> None:
-    """Keep the totals of the unique events; each batch replaces one small row.
-
-    A batch that is run again overwrites its own folder.
-    """
+    """Keep the totals of the unique events; each batch replaces one small row."""
     totals = deduplicated(events).agg(*_totals())
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.lit(batch_id).alias("batch_id"), *_kpi_columns(), F.struct(*SUMS).alias("sums")).write.mode("overwrite").parquet(
-            _batch_path(output, batch_id))
+        replace_batch(batch.select(*_kpi_columns(), F.struct(*SUMS).alias("sums")), output, batch_id)
 
     run_batches(totals, publish, checkpoint, "complete")
 
 
 def latest_totals(spark: SparkSession, output: str) -> DataFrame:
-    """The newest published row."""
-    rows = spark.read.parquet(f"{output}/batch=*")
-    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("batch_id", "sums")]), "batch_id")
-    return rows.agg(newest.alias("r")).select("r.*")
+    """The newest published row; only its folder is read."""
+    return spark.read.parquet(_batch_path(output, max(_numbers(spark, output, "batch=")))).drop("sums")
 
 
 def recent_events(events: DataFrame, output: str, checkpoint: str, keep: int) -> None:
@@ -93,28 +109,32 @@ def recent_events(events: DataFrame, output: str, checkpoint: str, keep: int) ->
         if batch_id > 0:
             rows = rows.unionByName(spark.read.parquet(_batch_path(output, batch_id - 1)))
         newest = rows.dropDuplicates(["request_id"]).orderBy(F.desc("created_at"), F.desc("request_id")).limit(keep)
-        newest.write.mode("overwrite").parquet(_batch_path(output, batch_id))
+        replace_batch(newest, output, batch_id)
 
     run_batches(events, merge, checkpoint)
 
 
 def latest_recent(spark: SparkSession, output: str) -> DataFrame:
-    rows = spark.read.option("basePath", output).parquet(f"{output}/batch=*")
-    return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
+    """The newest merged result; only its folder is read."""
+    return spark.read.parquet(_batch_path(output, max(_numbers(spark, output, "batch="))))
 
 
 def publish_snapshot(logs: DataFrame, totals: str, output: str) -> int:
     """Let the log's totals replace the live ones from here on; returns the number of the new version.
 
-    A version is one row, written whole: the sums over ``logs`` and the stream's position, the newest batch in the folder
-    ``totals`` of ``running_totals`` (-1 before the first). ``logs`` must hold the events of the batches up to there.
-    The stream goes on meanwhile; a reader takes the newest version and adds what was counted behind its position.
+    A version is one row, written whole: the sums over ``logs``, and the stream's position, the newest batch in the folder
+    ``totals`` of ``running_totals`` (-1 before the first), with the sums counted up to there. ``logs`` must hold the events
+    of those batches. The stream goes on meanwhile; a reader takes the newest version and adds what was counted since.
     """
     spark = logs.sparkSession
     # the position is read first: a batch that ends meanwhile is added by readers
     position = max(_numbers(spark, totals, "batch="), default=-1)
     version = max(_numbers(spark, output, "version="), default=-1) + 1
-    row = logs.agg(*_totals()).select(F.lit(position).cast("long").alias("position"), F.struct(*SUMS).alias("sums"))
+    sums = F.struct(*SUMS)
+    empty = logs.limit(0).agg(*_totals()).select(sums.alias("streamed"))
+    streamed = spark.read.parquet(_batch_path(totals, position)).select(F.col("sums").alias("streamed")) if position >= 0 else empty
+    row = logs.agg(*_totals()).select(
+        F.lit(position).cast("long").alias("position"), sums.alias("sums"), F.lit(streamed.scalar()).alias("streamed"))
     row.write.parquet(f"{output}/version={version:012d}")
     return version
 
@@ -127,16 +147,14 @@ def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
 
 
 def published_totals(spark: SparkSession, totals: str, output: str) -> DataFrame:
-    """The newest snapshot plus what the stream counted after it; three one-row folders are read."""
-    version = max(_numbers(spark, output, "version="))
-    snapshot = spark.read.parquet(f"{output}/version={version:012d}").first()
-    batches = _numbers(spark, totals, "batch=")
-    wanted = {snapshot["position"], max(batches, default=-1)} & set(batches)
-    sums = spark.read.parquet(f"{output}/version={version:012d}").select("sums.*")
-    for batch in wanted if len(wanted) == 2 or snapshot["position"] < 0 else ():
-        counted = spark.read.parquet(_batch_path(totals, batch)).select("sums.*")
-        sums = sums.unionByName(counted.select(*[F.negative(c).alias(c) for c in SUMS]) if batch == snapshot["position"] else counted)
-    return sums.agg(*[F.sum(c).alias(c) for c in SUMS]).select(*_kpi_columns())
+    """The newest snapshot plus what the stream counted after it; two one-row folders are read."""
+    snapshot = spark.read.parquet(f"{output}/version={max(_numbers(spark, output, 'version=')):012d}")
+    parts = snapshot.select("sums.*")
+    newest = max(_numbers(spark, totals, "batch="), default=-1)
+    if newest >= 0:
+        before = snapshot.select(*[F.negative(f"streamed.{c}").alias(c) for c in SUMS])
+        parts = parts.unionByName(before).unionByName(spark.read.parquet(_batch_path(totals, newest)).select("sums.*"))
+    return parts.agg(*[F.sum(c).alias(c) for c in SUMS]).select(*_kpi_columns())
 
 
 def reconcile(logs: DataFrame, live: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from costlens import constants as K
 from costlens.functions.pricing import with_costs
 from costlens.operators.cache import replay
 from costlens.session import materialise
-from costlens.streaming.feed import _batch_path, run_batches
+from costlens.streaming.feed import _batch_path, replace_batch, run_batches
 
 
 def priced_log(requests: DataFrame, log: str, quarantine: str, checkpoint: str) -> None:
@@ -48,6 +48,6 @@ def cached_decisions(
         pool = news if stored is None else news.unionByName(stored)
         earliest = batch.agg(F.min(F.unix_micros("asked_at"))).first()[0]
         live = F.lit(True) if earliest is None else F.unix_micros("asked_at") > earliest - ttl_seconds * 1_000_000
-        pool.where(live).write.mode("overwrite").parquet(_batch_path(alive, batch_id))
+        replace_batch(pool.where(live), alive, batch_id)
 
     run_batches(requests, decide, checkpoint)

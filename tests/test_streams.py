@@ -84,3 +84,24 @@ def test_streamed_cache_equals_replay(spark, tmp_path):
     writers.cached_decisions(stream, f"{tmp_path}/out", f"{tmp_path}/alive", f"{tmp_path}/c")
     streamed = {r["request_id"]: (r["hit"], r["stored"]) for r in writers.read_batches(spark, f"{tmp_path}/out").collect()}
     assert streamed == {r["request_id"]: (r["hit"], r["stored"]) for r in cache.replay(requests).collect()}
+
+
+def test_folders_do_not_grow_with_batches(spark, logs, tmp_path, monkeypatch):
+    monkeypatch.setattr(feed, "KEPT_BATCHES", 2)
+    path, totals, recent, output = (str(tmp_path / name) for name in ("frames", "totals", "recent", "published"))
+    for day in range(1, 7):
+        feed.to_events(logs.where(F.dayofmonth("created_at") == day)).coalesce(1).write.mode("append").text(path)
+    events = feed.parse(feed.read_frames(spark, path, files_per_batch=1))
+    seen = logs.where(F.dayofmonth("created_at") <= 6)
+    feed.running_totals(events, totals, f"{tmp_path}/c1")
+    feed.recent_events(events, recent, f"{tmp_path}/c2", 30)
+    assert len(list((tmp_path / "totals").glob("batch=*"))) == len(list((tmp_path / "recent").glob("batch=*"))) == 2
+    assert one(feed.latest_totals(spark, totals)) == one(reports.kpi_totals(seen))
+    got = {r["request_id"] for r in feed.latest_recent(spark, recent).collect()}
+    assert got == {r["request_id"] for r in seen.orderBy(F.desc("created_at"), F.desc("request_id")).limit(30).collect()}
+    # the snapshot knows what was streamed before it, though the folder of its position goes
+    feed.publish_snapshot(seen, totals, output)
+    for day in (7, 8, 9):
+        feed.to_events(logs.where(F.dayofmonth("created_at") == day)).coalesce(1).write.mode("append").text(path)
+    feed.running_totals(events, totals, f"{tmp_path}/c1")
+    assert one(feed.published_totals(spark, totals, output)) == one(reports.kpi_totals(logs.where(F.dayofmonth("created_at") <= 9)))
