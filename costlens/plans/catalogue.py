@@ -414,9 +414,8 @@ def stats_snapshot(spark, folder):
         "totals.*",
         joined("tier_distribution", lambda t: F.concat_ws(":", t["tier"], t["count"].cast("string"))),
         joined("model_distribution", lambda m: F.concat_ws("=", m["model"], m["count"].cast("string"))),
-        joined("latency_percentiles", lambda t: F.concat_ws(":", t["tier"], t["count"].cast("string"))),
-        F.size("cumulative_savings").cast("long").alias("points"),
-        F.element_at("cumulative_savings", -1)["cumulative_savings"].alias("last_point"),
+        joined("latency_percentiles", lambda t: F.format_string("%s:%.1f:%.1f:%d", t["tier"], t["p50"], t["p95"], t["count"])),
+        joined("cumulative_savings", lambda p: F.format_string("%d=%s=%.8f", p["position"], p["timestamp"], p["cumulative_savings"])),
         "cache_hit_vs_miss.*", "savings_split.*")
 
 

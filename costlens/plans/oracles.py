@@ -352,15 +352,21 @@ _put("latency_box", _log(_BOX + """SELECT tier, round(a, 4) AS q1, round(b, 4) A
 _put("latency_outliers", _log(_BOX + "SELECT id, tier, latency_ms FROM boxed WHERE NOT inside"))
 _put("cache_hit_miss", _log("SELECT count(*) FILTER (WHERE cache_hit) AS hit, count(*) FILTER (WHERE NOT cache_hit) AS miss FROM logs"))
 _put("history_count", _log("SELECT count(*) AS total FROM logs WHERE tier = 'simple' AND fallback_used"))
-_put("stats_snapshot", _spine(f"""
-, tiers AS (SELECT tier, count(*) AS n FROM logs GROUP BY tier),
+_SERIES = """
+, series AS (
+  SELECT id, created_at, at_text, row_number() OVER w AS position, count(*) OVER () AS n,
+         round((sum(CAST(savings_usd AS DECIMAL(18,8))) OVER w)::DOUBLE, 8) AS cumulative_savings
+  FROM logs WINDOW w AS (ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)),
+sampled AS (SELECT * FROM series WHERE (position - 1) % greatest(1, ceil(n / 200)) = 0 OR position = n)
+"""
+_put("stats_snapshot", _spine(f"""{_SERIES}
+, tiers AS (SELECT tier, count(*) AS n, round(quantile_cont(latency_ms, 0.5), 1) AS p50, round(quantile_cont(latency_ms, 0.95), 1) AS p95 FROM logs GROUP BY tier),
 kpi AS (SELECT {_KPI} FROM logs), split AS ({_split(_CACHE, _ROUTING)} FROM logs)
 SELECT kpi.*, (SELECT string_agg(tier || ':' || n, ';' ORDER BY n DESC, tier) FROM tiers) AS tier_distribution,
   (SELECT string_agg(model || '=' || count, ';' ORDER BY position) FROM spine) AS model_distribution,
-  (SELECT string_agg(tier || ':' || n, ';' ORDER BY tier) FROM tiers) AS latency_percentiles,
-  (SELECT count(*) + max(CASE WHEN (n - 1) % s <> 0 THEN 1 ELSE 0 END) FROM
-     (SELECT count(*) AS n, greatest(1, ceil(count(*) / 200))::BIGINT AS s FROM logs) z, range(0, n, s)) ::BIGINT AS points,
-  kpi.savings_usd AS last_point, (SELECT count(*) FROM logs WHERE cache_hit) AS hit, (SELECT count(*) FROM logs WHERE NOT cache_hit) AS miss, split.*
+  (SELECT string_agg(printf('%s:%.1f:%.1f:%d', tier, p50, p95, n), ';' ORDER BY tier) FROM tiers) AS latency_percentiles,
+  (SELECT string_agg(printf('%d=%s=%.8f', position, at_text, cumulative_savings), ';' ORDER BY position) FROM sampled) AS cumulative_savings,
+  (SELECT count(*) FROM logs WHERE cache_hit) AS hit, (SELECT count(*) FROM logs WHERE NOT cache_hit) AS miss, split.*
 FROM kpi, split"""))
 _put("confusion_matrix", f"WITH {_graded()}{_MATRIX} SELECT label, predicted, n FROM cells")
 _put("confusion_matrix_wide", f"""WITH {_graded()}{_MATRIX}
@@ -414,13 +420,6 @@ SELECT request_id, tier AS graded_tier, coalesce(tier_used, tier) AS final_tier,
 
 # ---- windows, sorts, sets ----------------------------------------------------------------
 
-_SERIES = """
-, series AS (
-  SELECT id, created_at, at_text, row_number() OVER w AS position, count(*) OVER () AS n,
-         round((sum(CAST(savings_usd AS DECIMAL(18,8))) OVER w)::DOUBLE, 8) AS cumulative_savings
-  FROM logs WINDOW w AS (ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)),
-sampled AS (SELECT * FROM series WHERE (position - 1) % greatest(1, ceil(n / 200)) = 0 OR position = n)
-"""
 _put("cumulative_savings", _log(_SERIES + "SELECT id, position, at_text AS created_at, cumulative_savings FROM series"))
 _put("savings_downsample", _log(_SERIES + "SELECT id, position, at_text AS created_at, cumulative_savings FROM sampled"))
 _put("sparkline_scale", _log(_SERIES + """
