@@ -273,7 +273,7 @@ def packing_runs(histogram: dict[int, int], limit: int = LIMIT, grid: int = GRID
     return runs
 
 
-def _placed(runs: list[tuple[int, int, int, int, int]]):
+def _placed(runs: list[tuple[int, int, int, int, int]], names: list[str]):
     by_length = defaultdict(list)
     for length, *run in runs:
         by_length[length].append(run)
@@ -289,29 +289,32 @@ def _placed(runs: list[tuple[int, int, int, int, int]]):
                 sequence[rows] = table[at, 2] + ranks[rows] - table[at, 0]
                 offset[rows] = table[at, 3]
             yield pa.RecordBatch.from_arrays(
-                [*(batch[name] for name in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                [*(batch[name] for name in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut = materialise(pieces(docs, path, limit, end_id))
+def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids, as ``pieces`` gives them), sequence_id, offset of every piece."""
+    cut = materialise(pieces(docs, path, limit, end_id, with_ids))
     histogram = dict(map(tuple, cut.groupBy("length").count().collect()))  # at most ``limit`` rows
     groups = max(1, sum(histogram.values()) // RANK_ROWS)
     dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("length", "_group").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    own = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", *cut.columns[4:])
     ranked = dealt.withColumn("_own", F.row_number().over(own)).join(base, ["length", "_group"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_own") - 1).alias("rank"))
-    return ranked.mapInArrow(_placed(packing_runs(histogram, limit)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = ranked.select(*cut.columns, (F.col("_before") + F.col("_own") - 1).alias("rank"))
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    return ranked.mapInArrow(_placed(packing_runs(histogram, limit), cut.columns), f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
-    """sequence_id, ids: the packed sequences, ids as little-endian 32-bit numbers. doc_id must be unique and not null."""
-    placed = pack(docs, path, limit, end_id).join(pieces(docs, path, limit, end_id, True).select("doc_id", "piece", "ids"), ["doc_id", "piece"])
+    """sequence_id, ids: the packed sequences, ids as little-endian 32-bit numbers.
+
+    Every row is packed with its own ids, so repeated rows, as a mix makes them, rows without doc_id and unlike texts of one
+    doc_id may stand in ``docs``.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return placed.groupBy("sequence_id").agg(parts.alias("parts")).select(
+    return pack(docs, path, limit, end_id, True).groupBy("sequence_id").agg(parts.alias("parts")).select(
         "sequence_id", F.aggregate("parts", F.lit(b""), lambda all_ids, part: F.concat(all_ids, part["ids"])).alias("ids"))
