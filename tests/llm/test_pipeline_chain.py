@@ -1,4 +1,4 @@
-"""The pipeline's stages, each on what its predecessor kept, against brute force."""
+"""The pipeline's stages, each on what its predecessor kept: near duplicates and pieces against brute force, the others against their operators."""
 
 import zlib
 from collections import Counter, defaultdict
