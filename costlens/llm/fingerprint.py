@@ -32,42 +32,37 @@ CHUNK_BYTES = 4_000_000
 SLICE_BYTES = 1_000_000
 _COUNT = np.arange(WINDOW + 2)
 _TERM = np.round(np.where(_COUNT > 0, _COUNT * np.log2(np.maximum(_COUNT, 1)), 0) * 2**20).astype(np.int64)
-_SECOND = np.diff(np.diff(np.concatenate([[0], _TERM])))  # of c log c, from c = 1 on
+_ADDED = np.concatenate([[0], np.cumsum(np.diff(np.diff(np.concatenate([[0], _TERM])))[1:WINDOW])])  # by a byte with n copies
+_PIECE = 1 << 16
 _FEATURE = np.random.default_rng(11).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def entropy_levels(data: np.ndarray) -> np.ndarray:
     """The entropy level (0 to 1000) of every 64-byte window of ``data``.
 
-    The sum of c log c over the byte counts of a window is built from pairs of equal bytes: the n-th earlier
-    copy of the byte at j is in all windows that hold both places, where it adds the n-th second difference.
+    The sum of c log c over the byte counts of a window is built from its equal bytes: a byte with n earlier copies less than
+    a window before it adds the first n second differences to every window that holds it, and one with n later copies takes
+    as many off again behind it. Copies are counted by comparing the bytes with themselves, 1 to 63 places on, in pieces.
     """
     size = len(data) - WINDOW + 1
     if size <= 0:
         return np.empty(0, np.int16)
-    order = np.argsort(data, kind="stable").astype(np.int32)
-    sorted_bytes = data[order]
-    active = np.arange(1, len(data), dtype=np.int32)
-    steps = np.zeros(len(data) + 1)  # sums of integers under 2**53: exact
-    rare_at, rare_weight = [], []
-    for back in range(1, WINDOW):  # one byte alone adds nothing
-        here, there = order[active], order[active - back]
-        fits = (here - there < WINDOW) & (sorted_bytes[active] == sorted_bytes[active - back])
-        active, here, there = active[fits], here[fits], there[fits]
-        if not len(active):
-            break
-        weight = float(_SECOND[back])  # for the windows s with here - WINDOW < s <= there
-        begin, end = np.maximum(here - (WINDOW - 1), 0), there + 1
-        if 8 * len(here) > len(data):
-            steps += weight * (np.bincount(begin, minlength=len(steps)) - np.bincount(end, minlength=len(steps)))
-        else:
-            rare_at += [begin, end]
-            rare_weight += [np.full(len(here), weight), np.full(len(here), -weight)]
-        active = active[active > back]
-    if rare_at:
-        steps += np.bincount(np.concatenate(rare_at), np.concatenate(rare_weight), minlength=len(steps))
-    total = np.cumsum(steps)[:size]
-    entropy = np.log2(WINDOW) - total / 2**20 / WINDOW
+    before, after = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+    for first in range(0, len(data), _PIECE):
+        last = min(first + _PIECE, len(data))
+        for back in range(1, min(WINDOW, last)):
+            start = max(first, back)
+            if start >= last:
+                continue
+            same = (data[start:last] == data[start - back:last - back]).view(np.uint8)
+            before[start:last] += same
+            after[start - back:last - back] += same
+    steps = np.zeros(size, np.int64)  # from one window to the next
+    added = _ADDED[before]
+    steps[0] = added[:WINDOW].sum()
+    steps[1:] = added[WINDOW:]
+    steps[1:] -= _ADDED[after[:size - 1]]
+    entropy = np.log2(WINDOW) - np.cumsum(steps) / 2**20 / WINDOW
     return np.clip(np.round(entropy / np.log2(WINDOW) * LEVELS), 0, LEVELS).astype(np.int16)
 
 
@@ -121,7 +116,9 @@ def _features(ranks: list[np.ndarray]) -> list[np.ndarray]:
     chosen = [np.empty(0, np.int64)] * len(ranks)
     if count <= 0:
         return chosen
-    best = (flat.astype(np.int64) << 32) | np.arange(len(flat))
+    bits = 21 if len(flat) < 1 << 21 else 40  # a rank takes 10 bits beside its place
+    best = flat.astype(np.int32 if bits == 21 else np.int64) << bits
+    best |= np.arange(len(flat), dtype=best.dtype)
     reach = 1
     while reach < NEIGHBOURS:  # NEIGHBOURS is a power of two
         best = np.minimum(best[:-reach], best[reach:])
@@ -129,7 +126,9 @@ def _features(ranks: list[np.ndarray]) -> list[np.ndarray]:
     inside = np.ones(count, bool)
     for end in ends[:-1]:
         inside[max(0, end - NEIGHBOURS + 1):end] = False
-    place, points = np.unique(best[inside] & 0xFFFFFFFF, return_counts=True)
+    winners = (best & ((1 << bits) - 1))[inside]  # the places of the best never go back
+    runs = np.flatnonzero(np.diff(winners, prepend=-1))
+    place, points = winners[runs].astype(np.int64), np.diff(runs, append=len(winners))
     owner = np.searchsorted(ends, place, side="right")
     cut = np.searchsorted(owner, np.arange(len(ranks) + 1))
     for i, (start, end) in enumerate(zip(cut[:-1], cut[1:])):
