@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from costlens import constants as K
 from costlens.operators.similarity import (
-    BLOCK_ROWS, MAX_BROADCAST_ROWS, _CHUNK, _blocks, _matrix, _pivots, _small, _unit, _vectors, _with_cells,
+    BLOCK_ROWS, MAX_BROADCAST_ROWS, _CHUNK, _blocks, _in_spans, _matrix, _small, _unit, _vectors,
 )
 from costlens.session import materialise, new_dir, remove
 
@@ -70,10 +70,8 @@ def conflicts(groups: DataFrame, span: int, threshold: float, block_rows: int, m
                         yield from _similar(threshold, span, lambda _, width=width: width)(same, known).combine_chunks().to_batches()
 
         return groups.mapInArrow(search, _LINKS)
-    pivots = _pivots(groups, block_rows)
-    homes = _with_cells(groups.withColumn("_bucket", F.col("bucket")), pivots, None)
     visits = groups.withColumn("_bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)))
-    visits = _with_cells(visits, pivots, float(np.sqrt(max(0.0, 2 - 2 * threshold))))
+    visits, homes = _in_spans(visits, groups.toDF(*groups.columns).withColumn("_bucket", F.col("bucket")), threshold, block_rows)
     left, right = _blocks(visits, homes, ["_dim", "_cell", "_bucket"], "gid", "gid", block_rows)
     on = ["_dim", "_cell", "_bucket", "_lb", "_rb"]
     pairs = _similar(threshold, span, lambda known: known.column("_dim")[0].as_py())

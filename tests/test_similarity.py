@@ -277,3 +277,16 @@ def test_nearest_beyond_the_limit_has_no_window(spark):
     same = nearest(queries, examples, 3)
     rows = lambda frame: sorted((r["query_id"], [(n["exemplar_id"], round(n["similarity"], 9)) for n in r["neighbours"]]) for r in frame.collect())
     assert rows(wide) == rows(same)
+
+
+def test_quiet_spans_are_not_copied_to_cells(spark):
+    """Only a span with more entries than a block is cut into cells; questions of other spans visit one, however many entries there are."""
+    centres = np.random.default_rng(5).normal(size=(300, WIDTH))
+    rows = [(i, i // 10 if i < 200 else 99, WIDTH, v.tolist()) for i, v in enumerate(centres)]
+    known = spark.createDataFrame(rows, "query_id long, _bucket long, _dim int, embedding array<double>")
+    asked, homes = similarity._in_spans(known.toDF(*known.columns), known, 0.5, 25)
+    visits = {r["_bucket"]: r["n"] for r in asked.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
+    assert all(visits[bucket] == 10 for bucket in range(20)) and visits[99] > 100
+    assert homes.count() == 300 and homes.where("_bucket = 99").select("_cell").distinct().count() > 1
+    quiet = similarity._in_spans(known.toDF(*known.columns), known, 0.5, 100)
+    assert [side.where("_cell = 0").count() for side in quiet] == [300, 300]
