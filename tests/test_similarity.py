@@ -290,3 +290,35 @@ def test_quiet_spans_are_not_copied_to_cells(spark):
     assert homes.count() == 300 and homes.where("_bucket = 99").select("_cell").distinct().count() > 1
     quiet = similarity._in_spans(known.toDF(*known.columns), known, 0.5, 100)
     assert [side.where("_cell = 0").count() for side in quiet] == [300, 300]
+
+
+def test_many_examples_are_cut_both_ways(spark):
+    """What is copied grows with the root of the pairs of blocks while parts are within their bound, and one part never takes a machine's cores alone."""
+    for rows in (100_000, 600_000):
+        parts, lanes = similarity._parts_and_lanes(rows, rows, similarity.BLOCK_ROWS)
+        assert parts * lanes >= 64 and parts + lanes <= 26
+        assert rows / parts <= similarity.BLOCK_ROWS * similarity.PART_BLOCKS and rows / lanes <= similarity.BLOCK_ROWS * similarity.LANE_BLOCKS
+    assert similarity._parts_and_lanes(0, 0, 25) == (1, 1)
+
+
+@pytest.mark.parametrize("k", [1, 6, 400])
+def test_single_precision_only_chooses_pairs(spark, k):
+    """Scores closer together than single precision tells apart are ranked as in double precision."""
+    import pyarrow as pa
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=WIDTH)
+    known = middle + rng.normal(size=(300, WIDTH)) * 1e-5
+    known[::50] = known[3]
+    known[17] = 0
+    asked = np.vstack([middle + rng.normal(size=(40, WIDTH)) * 1e-5, np.zeros((1, WIDTH))])
+    lists = lambda rows: pa.array(rows.tolist(), pa.list_(pa.float64()))
+    running = similarity._Running(np.arange(len(asked)), lists(asked), k)
+    order = rng.permutation(len(known))
+    for first in range(0, len(known), 70):
+        some = order[first:first + 70]
+        running.add(pa.table({"_number": some, "embedding": lists(known[some]), "exemplar_id": some * 2, "tier": [str(i) for i in some]}))
+    result = running.result(pa.int64())
+    for i, (numbers, ids, tiers) in enumerate(zip(*(result.column(name).to_pylist() for name in ("number", "exemplar_id", "tier")))):
+        best = sorted(range(len(known)), key=lambda j: (-round(cos(asked[i], known[j]), 12), j))[:k]
+        assert [round(cos(asked[i], known[j]), 11) for j in numbers] == [round(cos(asked[i], known[j]), 11) for j in best]
+        assert len(set(numbers)) == len(best) and ids == [2 * j for j in numbers] and tiers == [str(j) for j in numbers]
