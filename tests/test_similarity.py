@@ -322,3 +322,14 @@ def test_single_precision_only_chooses_pairs(spark, k):
         best = sorted(range(len(known)), key=lambda j: (-round(cos(asked[i], known[j]), 12), j))[:k]
         assert [round(cos(asked[i], known[j]), 11) for j in numbers] == [round(cos(asked[i], known[j]), 11) for j in best]
         assert len(set(numbers)) == len(best) and ids == [2 * j for j in numbers] and tiers == [str(j) for j in numbers]
+
+
+def test_untimed_questions_are_not_copied_to_cells(spark, monkeypatch):
+    """Where vectors have no clusters a question would visit nearly all cells, whose number grows with the entries."""
+    reaches, with_cells = [], similarity._with_cells
+    monkeypatch.setattr(similarity, "_with_cells", lambda df, pivots, reach, *more: reaches.append(reach) or with_cells(df, pivots, reach, *more))
+    queries, entries = vectors(6, 120), vectors(6, 200)
+    q, e = frames(spark, queries, entries)
+    found = similarity.similar_entries(q, e, 0.85, block_rows=25, max_broadcast_rows=0)
+    assert {r["query_id"]: r["cache_id"] for r in found.collect()} == brute(queries, entries, 0.85)
+    assert reaches and all(reach is None for reach in reaches)
